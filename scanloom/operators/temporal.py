@@ -75,18 +75,24 @@ def undistort(
     df = point_imu_pose(points, imu_poses)
     end_cols = [*g.ROT, *g.TRANS]
     df = df.join(ends.select("session", "scan_id", *[F.col(c).alias("e_" + c) for c in end_cols]), ["session", "scan_id"])
-    dt = F.col("offset_s") - F.col("prev.t")
-    turn = g.so3_exp([F.col("prev." + c) * dt for c in ("gyrx", "gyry", "gyrz")])
-    r_i = g.mat_mul(g.cols(g.ROT, "prev."), turn)
+    keep = df.columns
+    df = df.withColumn("_dt", F.col("offset_s") - F.col("prev.t"))
+    dt = F.col("_dt")
+    df = df.withColumns({"_w" + x: F.col("prev.gyr" + x) * dt for x in "xyz"})
+    turn = [f"_m{i}" for i in range(9)]
+    df = df.withColumns(dict(zip(turn, g.so3_exp(g.cols(["_wx", "_wy", "_wz"])))))
     lr, lt = [F.lit(float(v)) for v in lidar_rotation], [F.lit(float(v)) for v in lidar_translation]
     p = [F.col(c).cast("double") for c in "xyz"]
+    df = df.withColumns(dict(zip(("_lx", "_ly", "_lz"), g.rigid(lr, lt, p))))
+    df = df.withColumns(dict(zip(("_tx", "_ty", "_tz"), g.mat_vec(g.cols(turn), g.cols(["_lx", "_ly", "_lz"])))))
     shift = [
         F.col("prev." + a) + F.col("prev.vel" + x) * dt + 0.5 * F.col("prev.acc" + x) * dt * dt - F.col("e_" + a)
         for a, x in zip(g.TRANS, "xyz")
     ]
-    world = g.add(g.mat_vec(r_i, g.rigid(lr, lt, p)), shift)
-    body = g.mat_vec(g.transpose(g.cols(g.ROT, "e_")), world)
+    world = g.add(g.mat_vec(g.cols(g.ROT, "prev."), g.cols(["_tx", "_ty", "_tz"])), shift)
+    df = df.withColumns(dict(zip(("_ux", "_uy", "_uz"), world)))
+    body = g.mat_vec(g.transpose(g.cols(g.ROT, "e_")), g.cols(["_ux", "_uy", "_uz"]))
     out = g.mat_vec(g.transpose(lr), g.sub(body, lt))
-    keep = [c for c in df.columns if c not in ("prev", *["e_" + c for c in end_cols])]
+    keep = [c for c in keep if c not in ("prev", *["e_" + c for c in end_cols])]
     moved = {n: F.when(F.col("prev").isNull(), v).otherwise(o) for n, v, o in zip("xyz", p, out)}
     return df.withColumns(moved).select(*keep)
