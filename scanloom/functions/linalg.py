@@ -1,4 +1,4 @@
-"""Small dense algebra: symmetric 3x3 eigen systems as Columns, solvers as pandas UDFs."""
+"""Small dense algebra on aggregated rows: stacked numpy calls per Arrow batch."""
 
 from __future__ import annotations
 
@@ -10,57 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanloom.functions.geometry import cross, dot
 
 COV = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
-TWO_THIRDS_PI = 2.0943951023931953
-
-
-def _eigenvector(prefix: str, value: str, out: Sequence[str]) -> list[dict[str, Column]]:
-    """Steps that add the unit eigenvector of ``value`` of the matrix in ``COV``."""
-    c = {n: F.col(prefix + n) for n in COV}
-    lam = F.col(value)
-    rows = [
-        [c["cxx"] - lam, c["cxy"], c["cxz"]],
-        [c["cxy"], c["cyy"] - lam, c["cyz"]],
-        [c["cxz"], c["cyz"], c["czz"] - lam],
-    ]
-    step1 = {}
-    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for a, col in zip("xyz", cross(rows[i], rows[j])):
-            step1[f"_k{k}{a}"] = col
-    kv = [[F.col(f"_k{k}{a}") for a in "xyz"] for k in range(3)]
-    step2 = {f"_s{k}": dot(kv[k], kv[k]) for k in range(3)}
-    s = [F.col(f"_s{k}") for k in range(3)]
-    top = F.greatest(*s)
-    # Two equal eigenvalues leave the three cross products at rounding level; any
-    # vector across the dominant row is then an eigenvector.
-    rn = [dot(r, r) for r in rows]
-    big = F.greatest(*rn)
-    scale = F.col(prefix + "cxx") + F.col(prefix + "cyy") + F.col(prefix + "czz")
-    flat = top <= 1e-24 * F.pow(scale, 4)
-    row = [F.when(rn[0] >= big, rows[0][a]).when(rn[1] >= big, rows[1][a]).otherwise(rows[2][a]) for a in range(3)]
-    across = [
-        F.when(F.abs(row[0]) > F.abs(row[2]), -row[1]).otherwise(F.lit(0.0)),
-        F.when(F.abs(row[0]) > F.abs(row[2]), row[0]).otherwise(-row[2]),
-        F.when(F.abs(row[0]) > F.abs(row[2]), F.lit(0.0)).otherwise(row[1]),
-    ]
-    pick = {}
-    for a in range(3):
-        pick[f"_e{a}"] = (
-            F.when(flat & (big <= 1e-14 * scale * scale), F.lit(1.0 if a == 2 else 0.0))
-            .when(flat, across[a])
-            .when(s[0] >= top, kv[0][a])
-            .when(s[1] >= top, kv[1][a])
-            .otherwise(kv[2][a])
-        )
-    e = [F.col(f"_e{a}") for a in range(3)]
-    step4 = {"_en": F.sqrt(dot(e, e))}
-    sign = F.when(
-        (e[2] < 0) | ((e[2] == 0) & (e[1] < 0)) | ((e[2] == 0) & (e[1] == 0) & (e[0] < 0)), F.lit(-1.0)
-    ).otherwise(F.lit(1.0))
-    step5 = {n: sign * e[a] / F.col("_en") for a, n in enumerate(out)}
-    return [step1, step2, pick, step4, step5]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _eigen(cov: pd.Series) -> pd.Series:
+    """Ascending eigenvalues, then the eigenvectors of the smallest and of the largest."""
+    c = np.stack([np.asarray(v, dtype=float) for v in cov])
+    values, vectors = np.linalg.eigh(c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
+    out = [values]
+    for k in (0, 2):
+        v = vectors[:, :, k]
+        lead = np.where(v[:, 2] != 0, v[:, 2], np.where(v[:, 1] != 0, v[:, 1], v[:, 0]))
+        out.append(v * np.where(lead < 0, -1.0, 1.0)[:, None])
+    return pd.Series(list(np.concatenate(out, axis=1)))
 
 
 def with_eigen(
@@ -69,34 +33,14 @@ def with_eigen(
 ) -> DataFrame:
     """Add ascending eigenvalues of the covariance columns and, if asked, eigenvectors.
 
-    ``normal`` belongs to the smallest eigenvalue and ``longest`` to the largest. The
-    sign of an eigenvector is free; we return the one with z > 0 (then y, then x).
+    One stacked decomposition per Arrow batch of aggregated rows. ``normal`` belongs to the
+    smallest eigenvalue and ``longest`` to the largest; the sign of an eigenvector is free
+    and we return the one with z > 0 (then y, then x).
     """
     keep = df.columns
-    c = {n: F.col(prefix + n) for n in COV}
-    df = df.withColumn("_q", (c["cxx"] + c["cyy"] + c["czz"]) / 3.0)
-    q = F.col("_q")
-    a, b, d = c["cxx"] - q, c["cyy"] - q, c["czz"] - q
-    p1 = c["cxy"] * c["cxy"] + c["cxz"] * c["cxz"] + c["cyz"] * c["cyz"]
-    df = df.withColumn("_p", F.sqrt((a * a + b * b + d * d + 2 * p1) / 6.0))
-    p = F.col("_p")
-    det = (
-        a * (b * d - c["cyz"] * c["cyz"])
-        - c["cxy"] * (c["cxy"] * d - c["cyz"] * c["cxz"])
-        + c["cxz"] * (c["cxy"] * c["cyz"] - b * c["cxz"])
-    )
-    r = F.when(p > 0, det / (2.0 * p * p * p)).otherwise(F.lit(0.0))
-    df = df.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3.0)
-    phi = F.col("_phi")
-    df = df.withColumns({values[2]: q + 2.0 * p * F.cos(phi), values[0]: q + 2.0 * p * F.cos(phi + TWO_THIRDS_PI)})
-    df = df.withColumn(values[1], 3.0 * q - F.col(values[0]) - F.col(values[2]))
-    out = [*keep, *values]
-    for names, value in ((normal, values[0]), (longest, values[2])):
-        if names:
-            for step in _eigenvector(prefix, value, names):
-                df = df.withColumns(step)
-            out += list(names)
-    return df.select(*out)
+    df = df.withColumn("_eig", _eigen(F.array(*[F.col(prefix + n).cast("double") for n in COV])))
+    names = [*values, *(normal or ("_u", "_u", "_u")), *(longest or ("_u", "_u", "_u"))]
+    return df.select(*keep, *[F.col("_eig")[i].alias(n) for i, n in enumerate(names) if n != "_u"])
 
 
 def solve3(m: Sequence[Column], b: Sequence[Column]) -> list[Column]:

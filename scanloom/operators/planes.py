@@ -15,6 +15,7 @@ from scanloom.operators.components import connected_components
 from scanloom.operators.ordered import row_number
 from scanloom.operators.voxels import MOMENTS, merge_aggs, with_plane
 from scanloom.params import PlaneParams
+from scanloom.session import cut
 
 NORMAL = ("nx", "ny", "nz")
 CENTRE = ("cx", "cy", "cz")
@@ -63,7 +64,7 @@ def plane_groups(planes: DataFrame, keys: Sequence[str], p: PlaneParams, order:
 
     ``order`` is the list order; the voxel key by default.
     """
-    planes = planes.withColumn("ord", pack(g.cols(KEYS)) if order is None else order)
+    planes = cut(planes.withColumn("ord", pack(g.cols(KEYS)) if order is None else order))
     groups = connected_components(first_links(planes, keys, p), keys)
     return planes.join(groups.select(*keys, F.col("node").alias("ord"), F.col("comp").alias("grp")), [*keys, "ord"], "left")
 
