@@ -14,7 +14,7 @@ from scanloom.session import cut
 FRAME = ("session", "keyframe")
 KEY = ("kx", "ky", "kz")
 SIDES = ("a", "b", "c")
-CORNERS = ("A", "B", "C")
+CORNERS = ("pa", "pb", "pc")
 
 
 def neighbours(keypoints: DataFrame, keys: Sequence[str], k: int, size: float) -> DataFrame:
@@ -33,7 +33,7 @@ def _distance(p: Column, q: Column) -> Column:
 def triangles(keypoints: DataFrame, p: TriangleParams, keys: Sequence[str] = FRAME, size: float = 8.0) -> DataFrame:
     """Triangles of each key point with two of its neighbours.
 
-    A, B, C are the corners shared by the sides (1, 2), (1, 3), (2, 3) in ascending order.
+    pa, pb, pc are the corners shared by the sides (1, 2), (1, 3), (2, 3) in ascending order.
     Triangles with equal sides in millimetres are kept once per key frame, the first in
     (key point, m, n) order. A key point has at most ``neighbours`` entries, so its list is
     bounded and all pairs come from one array.
@@ -61,13 +61,13 @@ def triangles(keypoints: DataFrame, p: TriangleParams, keys: Sequence[str] = FRA
 
     df = df.select(
         *keys, "kp", "m", "n", *[x.alias(s) for x, s in zip(length, SIDES)],
-        shared(0, 1).alias("A"), shared(0, 2).alias("B"), shared(1, 2).alias("C"),
+        shared(0, 1).alias("pa"), shared(0, 2).alias("pb"), shared(1, 2).alias("pc"),
     )
     mm = {f"_m{s}": (F.col(s) * 1000).cast("float").cast("bigint") for s in SIDES}
     scale = 1.0 / p.resolution
     one = F.min(F.struct("kp", "m", "n", *SIDES, *CORNERS))
     once = df.withColumns(mm).groupBy(*keys, *mm).agg(one.alias("t")).select(*keys, "t.*")
-    centre = {f"c{x}": (F.col(f"A.{x}") + F.col(f"B.{x}") + F.col(f"C.{x}")) / 3 for x in "xyz"}
+    centre = {f"c{x}": (F.col(f"pa.{x}") + F.col(f"pb.{x}") + F.col(f"pc.{x}")) / 3 for x in "xyz"}
     return (
         once.withColumns({s: F.col(s) * scale for s in SIDES}).withColumns(centre)
         .withColumn("sid", F.col("kp") * 4096 + F.col("m") * 64 + F.col("n")).drop("m", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scanloom.plans import catalog_cells, catalog_points, catalog_windows  # noqa: F401
+from scanloom.plans import catalog_cells, catalog_loops, catalog_points, catalog_windows  # noqa: F401
 from scanloom.plans.views import Views
 
 
