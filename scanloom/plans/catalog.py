@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from scanloom.plans import catalog_cells, catalog_loops, catalog_points, catalog_windows  # noqa: F401
+from scanloom.plans import (  # noqa: F401
+    catalog_cells,
+    catalog_dynamic,
+    catalog_loops,
+    catalog_points,
+    catalog_windows,
+)
 from scanloom.plans.views import Views
 
 
 def flagship(v: Views) -> DataFrame:
-    from scanloom.operators.points import to_world
-
-    return to_world(v.points, v.poses)
+    return catalog_cells.merged_map(v)
