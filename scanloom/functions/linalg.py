@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,24 +43,24 @@ def with_eigen(
     return df.select(*keep, *[F.col("_eig")[i].alias(n) for i, n in enumerate(names) if n != "_u"])
 
 
-def solve3(m: Sequence[Column], b: Sequence[Column]) -> list[Column]:
-    """Solve a symmetric 3x3 system (xx, xy, xz, yy, yz, zz) by Cramer's rule; NULL when singular."""
-    xx, xy, xz, yy, yz, zz = m
-    rows = [[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]
-
-    def det(r):
-        return (
-            r[0][0] * (r[1][1] * r[2][2] - r[1][2] * r[2][1])
-            - r[0][1] * (r[1][0] * r[2][2] - r[1][2] * r[2][0])
-            + r[0][2] * (r[1][0] * r[2][1] - r[1][1] * r[2][0])
-        )
-
-    whole = det(rows)
-    out = []
-    for k in range(3):
-        swapped = [[b[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]
-        out.append(F.when(F.abs(whole) > 1e-12, det(swapped) / whole))
-    return out
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solve3(system: pd.Series) -> pd.Series:
+    """Cramer's rule on stacked symmetric systems (xx, xy, xz, yy, yz, zz, b0, b1, b2)."""
+    xx, xy, xz, yy, yz, zz, b0, b1, b2 = np.stack([np.asarray(v, dtype=float) for v in system]).T
+    det = xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a0 = (b0 * (yy * zz - yz * yz) - xy * (b1 * zz - yz * b2) + xz * (b1 * yz - yy * b2)) / det
+        a1 = (xx * (b1 * zz - yz * b2) - b0 * (xy * zz - yz * xz) + xz * (xy * b2 - b1 * xz)) / det
+        a2 = (xx * (yy * b2 - b1 * yz) - xy * (xy * b2 - b1 * xz) + b0 * (xy * yz - yy * xz)) / det
+    solved = np.stack([a0, a1, a2], axis=1)
+    return pd.Series([v if ok else None for v, ok in zip(solved, np.abs(det) > 1e-12)])
+
+
+def with_solution(df: DataFrame, matrix: Sequence[str], right: Sequence[str], out: Sequence[str]) -> DataFrame:
+    """Solve a symmetric 3x3 system per aggregated row; singular rows are dropped."""
+    df = df.withColumn("_sol", _solve3(F.array(*[F.col(c).cast("double") for c in (*matrix, *right)])))
+    df = df.filter(F.col("_sol").isNotNull())
+    return df.withColumns({n: F.col("_sol")[i] for i, n in enumerate(out)}).drop("_sol")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

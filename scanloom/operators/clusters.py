@@ -35,7 +35,7 @@ def voxel_neighbours(voxels: DataFrame, keys: Sequence[str], reach: int, half: b
     return a.join(b, [*keys, *OTHER], "left_semi")
 
 
-def cluster_voxels(points: DataFrame, keys: Sequence[str], size: float, reach: int, min_voxels: int, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
+def cluster_voxels(points: DataFrame, keys: Sequence[str], size: float, reach: int, min_voxels: int, origin: Sequence[float] = (0.0, 0.0, 0.0), name: str = "cluster") -> DataFrame:
     """Occupied voxels with their cluster: (keys, voxel, n, cluster); small clusters are left out.
 
     The cluster is named by its smallest packed voxel.
@@ -45,9 +45,9 @@ def cluster_voxels(points: DataFrame, keys: Sequence[str], size: float, reach: i
     pairs = voxel_neighbours(vox, keys, reach, half=True)
     edges = pairs.select(*keys, pack(g.cols(KEYS)).alias("a"), pack(g.cols(OTHER)).alias("b"))
     comp = connected_components(edges, keys)
-    named = vox.withColumn("node", pack(g.cols(KEYS))).join(comp, [*keys, "node"]).withColumnRenamed("comp", "cluster").drop("node")
-    big = named.groupBy(*keys, "cluster").agg(F.count("*").alias("_v")).filter(F.col("_v") >= min_voxels)
-    return named.join(big.drop("_v"), [*keys, "cluster"])
+    named = vox.withColumn("node", pack(g.cols(KEYS))).join(comp, [*keys, "node"]).withColumnRenamed("comp", name).drop("node")
+    big = named.groupBy(*keys, name).agg(F.count("*").alias("_v")).filter(F.col("_v") >= min_voxels)
+    return named.join(big.drop("_v"), [*keys, name])
 
 
 def cluster_boxes(vox: DataFrame, keys: Sequence[str], size: float, min_voxels: int, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -64,10 +64,10 @@ def cluster_boxes(vox: DataFrame, keys: Sequence[str], size: float, min_voxels:
 
 def largest_component(points: DataFrame, keys: Sequence[str], size: float, reach: int, min_voxels: int, origin: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """Points in the largest voxel cluster of their key; the smallest cluster name wins ties."""
-    vox = cluster_voxels(points, keys, size, reach, min_voxels, origin)
-    count = vox.groupBy(*keys, "cluster").agg(F.count("*").alias("c"))
-    best = count.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("m"), "cluster")).alias("b")).select(*keys, "b.cluster")
-    keep = vox.join(best, [*keys, "cluster"]).select(*keys, *KEYS)
+    vox = cluster_voxels(points, keys, size, reach, min_voxels, origin, "_part")
+    count = vox.groupBy(*keys, "_part").agg(F.count("*").alias("c"))
+    best = count.groupBy(*keys).agg(F.min(F.struct((-F.col("c")).alias("m"), "_part")).alias("b")).select(*keys, "b._part")
+    keep = vox.join(best, [*keys, "_part"]).select(*keys, *KEYS)
     return points.withColumns(floor_keys(size, origin)).join(keep, [*keys, *KEYS], "left_semi").drop(*KEYS)
 
 
@@ -146,12 +146,12 @@ def cluster_obb(points: DataFrame, normals: DataFrame, keys: Sequence[str]) -> D
     w = [F.coalesce(F.col("w" + a), c) for a, c in zip("xyz", spare)]
     flat = g.sub(w, [g.dot(w, u) * c for c in u])
     axes = axes.withColumns(dict(zip(("_fx", "_fy", "_fz"), flat))).withColumn("_fl", g.norm(g.cols(["_fx", "_fy", "_fz"])))
-    axes = axes.withColumns({"v" + a: F.col("_f" + a) / F.col("_fl") for a in "xyz"})
-    axes = axes.withColumns(dict(zip(("tx", "ty", "tz"), g.cross(u, g.cols(["vx", "vy", "vz"])))))
-    axes = axes.select(*keys, *[p + a for p in "uvt" for a in "xyz"])
+    axes = axes.withColumns({"s" + a: F.col("_f" + a) / F.col("_fl") for a in "xyz"})
+    axes = axes.withColumns(dict(zip(("tx", "ty", "tz"), g.cross(u, g.cols(["sx", "sy", "sz"])))))
+    axes = axes.select(*keys, *[p + a for p in "ust" for a in "xyz"])
     df = points.join(axes, list(keys))
-    along = {p: g.dot(g.cols("xyz"), g.cols([p + a for a in "xyz"])) for p in "uvt"}
-    return df.groupBy(*keys, *[p + a for p in "uvt" for a in "xyz"]).agg(
+    along = {p: g.dot(g.cols("xyz"), g.cols([p + a for a in "xyz"])) for p in "ust"}
+    return df.groupBy(*keys, *[p + a for p in "ust" for a in "xyz"]).agg(
         *[F.min(c).alias("min_" + p) for p, c in along.items()], *[F.max(c).alias("max_" + p) for p, c in along.items()]
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.functions.linalg import solve3
+from scanloom.functions.linalg import with_solution
 from scanloom.functions.voxel import KEYS, pack, voxel_key
 from scanloom.operators.cells import dist2, spread, with_cell
 from scanloom.operators.components import connected_components
@@ -19,6 +19,7 @@ from scanloom.session import cut
 
 NORMAL = ("nx", "ny", "nz")
 CENTRE = ("cx", "cy", "cz")
+NORMAL_SUMS = ("hxx", "hxy", "hxz", "hyy", "hyz", "hzz")
 
 
 def plane_points(planes: DataFrame, keys: Sequence[str] = ("session", "scan_id")) -> DataFrame:
@@ -102,8 +103,7 @@ def plane_lsq(points: DataFrame, keys: Sequence[str], max_residual: float = 0.2)
         F.sum(y * y).alias("hyy"), F.sum(y * z).alias("hyz"), F.sum(z * z).alias("hzz"),
         F.sum(-x).alias("bx"), F.sum(-y).alias("by"), F.sum(-z).alias("bz"),
     )
-    a = solve3(g.cols(["hxx", "hxy", "hxz", "hyy", "hyz", "hzz"]), g.cols(["bx", "by", "bz"]))
-    fit = sums.select(*keys, "n", *[c.alias(f"a{i}") for i, c in enumerate(a)]).filter(F.col("a0").isNotNull())
+    fit = with_solution(sums, NORMAL_SUMS, ("bx", "by", "bz"), ("a0", "a1", "a2")).select(*keys, "n", "a0", "a1", "a2")
     residual = F.abs(F.col("a0") * x + F.col("a1") * y + F.col("a2") * z + 1.0)
     length = F.sqrt(F.col("a0") ** 2 + F.col("a1") ** 2 + F.col("a2") ** 2)
     checked = points.join(fit, list(keys)).groupBy(*keys, "n", "a0", "a1", "a2").agg(
@@ -247,8 +247,7 @@ def nn5_plane(neighbours: DataFrame, keys: Sequence[str], ident: str, max_d2: fl
         F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias("h" + a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")],
         *[F.sum(-F.col(a)).alias("b" + a) for a in "xyz"], F.collect_list(F.struct("x", "y", "z")).alias("pts"),
     )
-    a = solve3(g.cols(["hxx", "hxy", "hxz", "hyy", "hyz", "hzz"]), g.cols(["bx", "by", "bz"]))
-    fit = fit.select(*keys, ident, "pts", *[c.alias(f"a{i}") for i, c in enumerate(a)]).filter(F.col("a0").isNotNull())
+    fit = with_solution(fit, NORMAL_SUMS, ("bx", "by", "bz"), ("a0", "a1", "a2")).select(*keys, ident, "pts", "a0", "a1", "a2")
     length = F.sqrt(F.col("a0") ** 2 + F.col("a1") ** 2 + F.col("a2") ** 2)
     fit = fit.withColumns({"nx": F.col("a0") / length, "ny": F.col("a1") / length, "nz": F.col("a2") / length, "d": 1.0 / length})
     worst = F.array_max(F.transform("pts", lambda q: F.abs(F.col("nx") * q.x + F.col("ny") * q.y + F.col("nz") * q.z + F.col("d"))))

@@ -316,7 +316,7 @@ def _(v):
     pts = moving(v).withColumns({f"v{a}": F.floor(F.col(a) / 4.0).cast("bigint") for a in "xyz"}).join(vox.drop("n"), [*SCAN, "vx", "vy", "vz"])
     planes = voxels.with_plane(pts.groupBy(*SCAN, "cluster", "vx", "vy", "vz").agg(*voxels.moment_aggs()).filter(F.col("n") > 2))
     normals = planes.select(*SCAN, "cluster", "nx", "ny", "nz", F.col("n").alias("weight"))
-    return cl.cluster_obb(pts, normals, [*SCAN, "cluster"]).select(*SCAN, "cluster", *snapped(["min_u", "max_u", "min_v", "max_v"], 3))
+    return cl.cluster_obb(pts, normals, [*SCAN, "cluster"]).select(*SCAN, "cluster", *snapped(["min_u", "max_u", "min_s", "max_s"], 3))
 
 
 @query("gr_cluster_refine")

@@ -302,7 +302,8 @@ def _(v):
 @query("src_stream_scans")
 def _(v):
     def build(stream):
-        return stream.withWatermark("ts", "10 minutes").filter(F.col("event_type") == "view").select("event_id", "ts", "value")
+        timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
+        return timed.filter(F.col("event_type") == "view").select("event_id", "ts", "value")
 
     return run_stream(v, build, "events")
 
