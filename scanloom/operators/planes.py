@@ -42,11 +42,16 @@ def first_links(planes: DataFrame, keys: Sequence[str], p: PlaneParams) -> DataF
     """
     side = planes.select(*keys, "ord", *CENTRE, *NORMAL, "d")
     cell = ("_cx", "_cy", "_cz")
-    flips = F.when(F.col("nz") < 2 * p.normal_threshold, F.array(F.lit(1.0), F.lit(-1.0))).otherwise(F.array(F.lit(1.0)))
+    # Cells use the upward normal; its opposite is needed too where it is nearly level.
+    up = F.when(F.col("nz") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    side = side.withColumns({"_u" + n: F.col(n) * up for n in NORMAL})
+    upward = ["_u" + n for n in NORMAL]
+    flips = F.when(F.col("_unz") < p.normal_threshold, F.array(F.lit(1.0), F.lit(-1.0))).otherwise(F.array(F.lit(1.0)))
     a = side.withColumn("_f", F.explode(flips))
-    a = a.withColumns({"_t" + n: F.col(n) * F.col("_f") for n in NORMAL})
-    a = spread(with_cell(a, p.normal_threshold, ["_t" + n for n in NORMAL], cell), names=cell)
-    b = with_cell(side.select(*keys, *[F.col(c).alias("o_" + c) for c in ("ord", *CENTRE, *NORMAL, "d")]), p.normal_threshold, ["o_" + n for n in NORMAL], cell)
+    a = a.withColumns({u: F.col(u) * F.col("_f") for u in upward})
+    a = spread(with_cell(a, p.normal_threshold, upward, cell), names=cell).drop(*upward)
+    b = with_cell(side, p.normal_threshold, upward, cell)
+    b = b.select(*keys, *cell, *[F.col(c).alias("o_" + c) for c in ("ord", *CENTRE, *NORMAL, "d")])
     n1, n2 = g.cols(NORMAL), g.cols(NORMAL, "o_")
     d1 = F.abs(g.dot(n1, g.cols(CENTRE, "o_")) + F.col("d"))
     d2 = F.abs(g.dot(n2, g.cols(CENTRE)) + F.col("o_d"))
