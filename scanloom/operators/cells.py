@@ -37,6 +37,14 @@ def spread(df: DataFrame, reach: int = 1, half: bool = False, names: Sequence[st
     return df.withColumns({n: F.col(n) + F.col(f"_o.o{k}") for k, n in enumerate(names)})
 
 
+def touched(df: DataFrame, radius: float, axes: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Replicate every row into the cells of side 2·radius its ball touches: two per axis, 8 in space."""
+    for n, a in zip(names, axes):
+        low, high = [F.floor((F.col(a) + sign * radius) / (2.0 * radius)).cast("bigint") for sign in (-1, 1)]
+        df = df.withColumn(n, F.explode(F.sequence(low, high)))
+    return df
+
+
 def dist2(a: Sequence[Column], b: Sequence[Column]) -> Column:
     total = None
     for p, q in zip(a, b):
@@ -98,8 +106,8 @@ def within(
     refs = ref.select(*keys, *[F.col(a).cast("double").alias("r_" + a) for a in axes]).distinct()
     taken = with_cell(refs, fine, ["r_" + a for a in axes], names).select(*keys, *names).distinct()
     rest = p.join(taken, [*keys, *names], "left_anti")
-    far = spread(with_cell(rest.select(*keys, "_row", *axes), radius, axes, cell), names=cell)
-    target = with_cell(refs, radius, ["r_" + a for a in axes], cell)
+    far = touched(rest.select(*keys, "_row", *axes), radius, axes, cell)
+    target = with_cell(refs, 2.0 * radius, ["r_" + a for a in axes], cell)
     near = (
         far.join(target, [*keys, *cell])
         .filter(dist2([F.col(a) for a in axes], [F.col("r_" + a) for a in axes]) < radius * radius)
@@ -117,8 +125,8 @@ def nearest_capped(
 ) -> DataFrame:
     """Nearest ref closer than ``radius`` per probe: (keys, ident, d2, near struct). No match, no row."""
     cell = list(CELL[: len(axes)])
-    a = spread(with_cell(probe.select(*keys, ident, *axes), radius, axes, cell), names=cell)
-    b = with_cell(_side(ref, "r_", keys, axes, [ref_ident, *take]), radius, ["r_" + x for x in axes], cell)
+    a = touched(probe.select(*keys, ident, *axes), radius, axes, cell)
+    b = with_cell(_side(ref, "r_", keys, axes, [ref_ident, *take]), 2.0 * radius, ["r_" + x for x in axes], cell)
     hit = a.join(b, [*keys, *cell]).withColumn(
         "d2", dist2([F.col(x) for x in axes], [F.col("r_" + x) for x in axes])
     ).filter(F.col("d2") < radius * radius)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -153,8 +154,9 @@ def _(v):
 
 @query("gr_dynamic_label")
 def _(v):
+    # Images three seconds old keep the chain of labels that depend on labels short.
     pts, scans = local_points(v)
-    return dy.label_points(pts, scans, DYN)
+    return dy.label_points(pts, scans, replace(DYN, max_maps=2, min_maps=1, case1_interp=False, buffer_delay=3.0))
 
 
 @query("dl_from_labels", "SELECT session, scan_id, point_idx FROM v_points JOIN v_eval USING (session, scan_id, point_idx) WHERE pred >= 251")
