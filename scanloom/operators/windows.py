@@ -349,3 +349,29 @@ def surface_points(features: DataFrame) -> DataFrame:
 
 def edge_points(features: DataFrame) -> DataFrame:
     return features.filter(F.col("surface") == -2)
+
+
+def local_map(track: DataFrame, order: str, side: float, reach: float, threshold: float = 1.5) -> DataFrame:
+    """Moves of the cube that bounds the local map: ``moved`` has bits 1-6 for -x, +x, -y, +y, -z, +z.
+
+    The cube of edge ``side`` starts around the first pose and shifts along an axis when the
+    pose comes within ``threshold`` · ``reach`` of a face.
+    """
+    margin = threshold * reach
+    shift = max((side - 2.0 * margin) * 0.5 * 0.9, reach * (threshold - 1))
+
+    def step(state: np.ndarray | None, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        p = rows[["tx", "ty", "tz"]].to_numpy(dtype=float)
+        low = state
+        out = np.zeros(len(p), dtype=np.int64)
+        for i, pos in enumerate(p):
+            if low is None:
+                low = pos - side / 2
+                continue
+            down, up = np.abs(pos - low) <= margin, np.abs(pos - low - side) <= margin
+            up &= ~down
+            low = low + np.where(up, shift, 0.0) - np.where(down, shift, 0.0)
+            out[i] = sum((1 << (2 * k)) * int(down[k]) + (2 << (2 * k)) * int(up[k]) for k in range(3))
+        return out, low
+
+    return fold(track, ["session"], order, block_of(F.col(order)), step, "moved")

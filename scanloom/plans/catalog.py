@@ -9,6 +9,7 @@ from scanloom.plans import (  # noqa: F401
     catalog_dynamic,
     catalog_loops,
     catalog_points,
+    catalog_sinks,
     catalog_windows,
 )
 from scanloom.plans.views import Views
