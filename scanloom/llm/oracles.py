@@ -40,4 +40,36 @@ kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped
 SELECT doc_id, n_lines, n_dropped, sha256(t) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op9_line_dedup": OP9}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"(list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE (2 * c::INT) // 10 + (2 * c::INT) % 10 END)) % 10 = 0)"
+_CODE = "replace(m, ' ', '')"
+_MOD97 = f"""(list_reduce(list_concat([0], list_transform(string_split(substring({_CODE}, 5) || substring({_CODE}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END)),
+  lambda a, b: ((CASE WHEN b < 10 THEN a * 10 ELSE a * 100 END) + b) % 97) = 1)"""
+_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "x"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda p: p::HUGEINT)) <= 255", "x"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", "x"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15", "x"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|( [A-Z0-9]{4}){2,7}( [A-Z0-9]{1,3})?)\b", _MOD97, "x"),
+    ("national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "substring(m, 1, 3) NOT IN ('000', '666') AND m[1] <> '9' AND substring(m, 5, 2) <> '00' AND substring(m, 8, 4) <> '0000'"
+     " AND regexp_matches(lower(substring(t, greatest(1, s + 1 - 40), least(s, 40))), 'ssn|social security|national id|tax id')", "x"),
+)
+
+
+def _pii(k: int, kind: str, pattern: str, valid: str) -> str:
+    return f"""SELECT doc_id, s, {k} AS k, '{kind}' AS kind, s + length(m) AS e FROM (
+  SELECT doc_id, t, m[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT doc_id, t, m, string_split_regex(t, '{pattern}') AS g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m FROM d) WHERE len(m) > 0)) WHERE {valid}"""
+
+
+_ONE = "kind || ':' || s || ':' || e"
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({" UNION ALL ".join(_pii(k, kind, pattern, valid) for k, (kind, pattern, valid, _) in enumerate(_KINDS))}),
+per_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in ("email", "ip", "card", "phone"))},
+  coalesce(string_agg({_ONE}, ',' ORDER BY s, k) FILTER (k < 4), '') AS base, string_agg({_ONE}, ',' ORDER BY s, k) AS spans FROM spans GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in ("email", "ip", "card", "phone"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_pii": OP8, "op9_line_dedup": OP9}
