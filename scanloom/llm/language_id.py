@@ -35,6 +35,7 @@ class LanguageParams:
     max_languages: int = 200  # size bound of the table that is broadcast
     modulus: int = 4
     rest: int = 2
+    keep_share: float = 0.5  # of its main language, below which a document is rejected
 
 
 _BREAKS = np.ones(256, bool)
@@ -185,3 +186,18 @@ def predict(docs: DataFrame, model: LanguageModel, params: LanguageParams = Lang
 
     out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, n_languages bigint")
     return out.select("doc_id", held_out("doc_id", params.modulus, params.rest).alias("held_out"), "lang_pred", "score", "n_languages")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, params: LanguageParams = LanguageParams()) -> DataFrame:
+    """``docs`` whose main language holds at least ``keep_share`` of the words; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, texts in _texts(batch):
+                names, score, _ = predict_texts(texts, shared.value, params)
+                keep[i : i + len(texts)] = (np.array(names, object) != "und") & (score >= params.keep_share)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
