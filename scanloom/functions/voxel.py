@@ -53,6 +53,12 @@ def grid_decode(
 
 
 def pack(keys: Sequence[Column]) -> Column:
-    """Three voxel coordinates within ±2^20 as one order-preserving BIGINT."""
+    """Three voxel coordinates as one order-preserving BIGINT; outside ±2^20 it is an error.
+
+    Projected coordinates with a small voxel size can be that far out: shift the origin first.
+    """
+    inside = [k.between(-_BIAS, _BIAS - 1) for k in keys]
     x, y, z = [(k + _BIAS).cast("bigint") for k in keys]
-    return F.shiftleft(x, 42).bitwiseOR(F.shiftleft(y, 21)).bitwiseOR(z)
+    packed = F.shiftleft(x, 42).bitwiseOR(F.shiftleft(y, 21)).bitwiseOR(z)
+    far = F.raise_error(F.lit("voxel coordinate outside 2^20; shift the origin or enlarge the voxels")).cast("bigint")
+    return F.when(inside[0] & inside[1] & inside[2], packed).when(keys[0].isNotNull() & keys[1].isNotNull() & keys[2].isNotNull(), far)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.session import cut
+from scanloom.session import cut, rounds
 
 CELL = ("_cx", "_cy", "_cz")
 
@@ -136,7 +136,7 @@ def nearest_capped(
 
 def knn(
     probe: DataFrame, ref: DataFrame, keys: Sequence[str], ident: str, ref_ident: str, k: int,
-    size: float, take: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z"), max_rounds: int = 40,
+    size: float, take: Sequence[str] = (), axes: Sequence[str] = ("x", "y", "z"), max_rounds: int = 200,
 ) -> DataFrame:
     """Exact k nearest refs without a distance cap: (keys, ident, rank from 0, d2, near struct).
 
@@ -151,7 +151,7 @@ def knn(
     payload = F.struct(*[F.col("r_" + c).alias(c) for c in dict.fromkeys((ref_ident, *axes, *take))])
     order = Window.partitionBy(*keys, ident).orderBy("d2", "r_" + ref_ident)
     done = []
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "nearest neighbours"):
         a = spread(with_cell(todo, size, axes, cell), names=cell)
         b = with_cell(b0, size, ["r_" + x for x in axes], cell)
         hits = (

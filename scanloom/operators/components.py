@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.session import cut
+from scanloom.session import cut, rounds
 
 
 def _orient(e: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -18,19 +18,20 @@ def _orient(e: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
     """Label every node of ``edges(keys, a, b)`` with the smallest node of its component.
 
     A hub is never collected: each round takes a minimum per node (combined map-side)
     and joins it back, so a component of any size stays spread over the cluster.
-    Self edges keep isolated nodes in the result.
+    Self edges keep isolated nodes in the result. The rounds end when nothing changes, which
+    takes about the logarithm of the longest path; ``max_rounds`` only guards against a fault.
     """
     keys = list(keys)
     edges = cut(edges.select(*keys, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).distinct())
     nodes = edges.select(*keys, F.col("a").alias("node")).union(edges.select(*keys, F.col("b").alias("node"))).distinct()
     e = cut(_orient(edges, keys))
     seen = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "connected components"):
         both = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter(F.col("b") > F.col("a")).join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))

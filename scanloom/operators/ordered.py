@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.session import cut
+from scanloom.session import cut, rounds
 
 BLOCK = 4096
 
@@ -47,6 +47,18 @@ def row_number(
     )
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, block: Column, column: str, name: str) -> DataFrame:
+    """Sum of ``column`` up to and with each row, block by block plus a running offset."""
+    df = df.withColumn("_blk", block)
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(*keys, "_blk").agg(F.sum(column).alias("_n"))
+        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    )
+    local = F.sum(column).over(Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_loc", local).join(offsets, [*keys, "_blk"]).withColumn(name, F.col("_off") + F.col("_loc")).drop("_blk", "_loc", "_off")
+
+
 def neighbour(
     df: DataFrame, keys: Sequence[str], order: str, block: Column, take: Sequence[str],
     step: int = -1, name: str = "prev",
@@ -109,15 +121,16 @@ Step = Callable[[np.ndarray | None, pd.DataFrame], tuple[np.ndarray, np.ndarray]
 
 def fold(
     df: DataFrame, keys: Sequence[str], order: str, block: Column, step: Step,
-    flag: str = "flag", max_rounds: int = 10_000,
+    flag: str = "flag", max_rounds: int = 1_000_000,
 ) -> DataFrame:
     """Run a sequential pass over each key, block by block, and add its per-row result.
 
     ``step(state, rows)`` returns one BIGINT per row and the state after the last row.
     All blocks run at once from an unknown state; a block is run again only when the
     state handed over by the block before it has changed. After round r the first r
-    blocks are final, so the result always equals the sequential pass, and passes that
-    forget their past settle in two or three rounds.
+    blocks are final, so the result always equals the sequential pass. A pass whose state
+    forgets the past within a block settles in two or three rounds; the state must therefore
+    hold no running number (see :func:`running_sum`).
     """
     df = df.withColumn("_blk", block)
     columns = df.columns
@@ -136,7 +149,7 @@ def fold(
     order_blocks = Window.partitionBy(*keys).orderBy("_blk")
     states = cut(heads.withColumn("_in", F.lit(None).cast("array<double>")).withColumn("_todo", F.lit(True)))
     outs = None
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "sequential pass"):
         todo = states.filter("_todo").select(*keys, "_blk", "_in")
         fresh = (
             df.join(todo, [*keys, "_blk"])

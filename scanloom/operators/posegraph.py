@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import geometry as g
 from scanloom.operators.components import connected_components
 from scanloom.params import PoseGraphParams
-from scanloom.session import cut
+from scanloom.session import cut, rounds
 
 POSE = [*g.ROT, *g.TRANS]
 DOF = range(6)
@@ -50,7 +50,7 @@ def _mean_motion(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.with_rotation(mean).select(*keys, "n", *POSE)
 
 
-def session_align(loops: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def session_align(loops: DataFrame, max_rounds: int = 1_000_000) -> DataFrame:
     """Motion of every session into the frame of the lowest one it is linked to.
 
     ``loops`` has (session, map_session, pose): the motion from session coordinates into map
@@ -64,7 +64,7 @@ def session_align(loops: DataFrame, max_rounds: int = 1000) -> DataFrame:
     comp = connected_components(pair.select(F.col("session").alias("a"), F.col("map_session").alias("b")))
     eye = [F.lit(1.0 if i in (0, 4, 8) else 0.0).alias(n) for i, n in enumerate(POSE)]
     known = cut(comp.filter(F.col("node") == F.col("comp")).select(F.col("node").alias("session"), *eye))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "session alignment"):
         base = known.select(F.col("session").alias("map_session"), *[F.col(c).alias("k" + c) for c in POSE])
         step = pair.join(base, "map_session").join(known.select("session"), "session", "left_anti")
         r, t = g.compose(g.cols(g.ROT, "k"), g.cols(g.TRANS, "k"), g.cols(g.ROT), g.cols(g.TRANS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.operators.cells import knn
 from scanloom.params import LoopParams, TriangleParams
-from scanloom.session import cut
+from scanloom.session import cut, rounds
 
 FRAME = ("session", "keyframe")
 KEY = ("kx", "ky", "kz")
@@ -170,7 +170,7 @@ def range_matches(query: DataFrame, store: DataFrame, max_centre: float = 100.0,
 
 def dedupe_descriptors(
     descriptors: DataFrame, keys: Sequence[str] = ("session",), side_ratio: float = 0.005, min_similarity: float = 0.75,
-    max_rounds: int = 100,
+    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Fold a descriptor into the first kept, earlier one of its key that is nearly equal.
 
@@ -200,7 +200,7 @@ def dedupe_descriptors(
     later = links.select(*ident).distinct()
     kept = cut(links.select(*host).distinct().toDF(*ident).join(later, ident, "left_anti"))
     todo = cut(later)
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "descriptor insertion"):
         gone = open_links.join(kept.select(*as_host), host, "left_semi").select(*ident).distinct()
         todo = cut(todo.join(gone, ident, "left_anti"))
         if todo.isEmpty():

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.operators.ordered import BLOCK, block_of, fold, neighbour, row_number
-from scanloom.params import LineFeatureParams
+from scanloom.operators.ordered import BLOCK, block_of, fold, neighbour, row_number, running_sum
 
 
 def key_frames(scans: DataFrame, size: int) -> DataFrame:
@@ -62,22 +61,60 @@ def arrival_cap(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit:
     )
 
 
-def map_epochs(scans: DataFrame, threshold: float, t: str = "t") -> DataFrame:
+def map_epochs(scans: DataFrame, threshold: float, t: str = "t", block: Column | None = None) -> DataFrame:
     """Number of the range image each scan belongs to.
 
-    A new image starts when the time since the current one started reaches ``threshold``.
+    A new image starts when the time since the current one started reaches ``threshold``. A
+    block cannot know when the image it begins in was started, but only its scans before
+    ``threshold`` can be its first start. For each of these one pass notes the last start and the
+    number of starts; chaining the notes, a few rows per block, gives every block its true
+    beginning, and a second pass numbers the scans. Two passes do, whatever the number of blocks.
     """
-    def step(state: np.ndarray | None, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        times = rows[t].to_numpy(dtype=float)
-        start, epoch = (None, -1) if state is None else (state[0], int(state[1]))
-        out = np.empty(len(times), dtype=np.int64)
-        for i, now in enumerate(times):
-            if start is None or now - start >= threshold:
-                start, epoch = now, epoch + 1
-            out[i] = epoch
-        return out, np.array([start, epoch], dtype=float)
-
-    return fold(scans, ["session"], "scan_id", block_of(F.col("scan_id")), step, "epoch")
+    block = block_of(F.col("scan_id")) if block is None else block
+    df = scans.withColumn("_blk", block)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def followers(times: np.ndarray) -> np.ndarray:
+        """Index of the start after each scan, if that scan is one."""
+        after = np.searchsorted(times, times + threshold, "left")
+        after -= (after > 0) & (times[np.maximum(after - 1, 0)] - times >= threshold)  # the sum may have been rounded up
+        return after + ((after < len(times)) & (times[np.minimum(after, len(times) - 1)] - times < threshold))
+
+    def note(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("scan_id", kind="stable")
+        times = pdf[t].to_numpy(dtype=float)
+        after = followers(times)
+        last, n = np.arange(len(times)), np.ones(len(times), np.int64)
+        for i in range(len(times) - 1, -1, -1):
+            if after[i] < len(times):
+                last[i], n[i] = last[after[i]], n[after[i]] + 1
+        heads = slice(0, min(len(times), int(after[0]) + 1))
+        return pd.DataFrame({"session": pdf["session"].iloc[0], "_blk": pdf["_blk"].iloc[0], "first": times[heads], "last": times[last[heads]], "n": n[heads]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, start, epoch = [], -np.inf, -1
+        for b, part in pdf.sort_values(["_blk", "first"]).groupby("_blk", sort=True):
+            rows.append((part["session"].iloc[0], b, start, epoch))
+            hit = np.flatnonzero(part["first"].to_numpy() - start >= threshold)
+            if len(hit):
+                start, epoch = part["last"].iloc[hit[0]], epoch + int(part["n"].iloc[hit[0]])
+        return pd.DataFrame(rows, columns=["session", "_blk", "_start", "_epoch"])
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("scan_id", kind="stable")
+        times = pdf[t].to_numpy(dtype=float)
+        after, flags = followers(times), np.zeros(len(times), np.int64)
+        hit = np.flatnonzero(times - pdf["_start"].iloc[0] >= threshold)
+        at = int(hit[0]) if len(hit) else len(times)
+        while at < len(times):
+            flags[at], at = 1, int(after[at])
+        return pdf.assign(epoch=int(pdf["_epoch"].iloc[0]) + np.cumsum(flags)).drop(columns=["_blk", "_start", "_epoch"])
+
+    ids = f"session {kinds['session']}, _blk bigint"
+    notes = df.groupBy("session", "_blk").applyInPandas(note, f"{ids}, first double, last double, n bigint")
+    heads = notes.groupBy("session").applyInPandas(chain, f"{ids}, _start double, _epoch bigint")
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in scans.columns)
+    return df.join(heads, ["session", "_blk"]).groupBy("session", "_blk").applyInPandas(number, f"{fields}, epoch bigint")
 
 
 def motion_skip(
@@ -146,22 +183,27 @@ def ring_time(points: DataFrame, degrees_per_ms: float = 3.61, block: Column | N
 
 
 def ring_index(points: DataFrame, gap: int = 100, order: str = "point_idx", block: Column | None = None) -> DataFrame:
-    """Line number from azimuth zero crossings that are more than ``gap`` points apart."""
+    """Line number from azimuth zero crossings that are more than ``gap`` points apart.
+
+    The state of the pass is the last azimuth and the distance from the last start, which counts
+    no further than ``gap``; the line number is the running sum of the starts.
+    """
     block = block_of(F.col(order), _LINE_BLOCK) if block is None else block
 
     def step(state: np.ndarray | None, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        line, since, last = (1.0, 0.0, 1.0) if state is None else state
-        out = np.empty(len(rows), dtype=np.int64)
-        for i, a in enumerate(rows["azimuth"].to_numpy(dtype=float)):
-            if 0.0 <= a < 1.0 and -1.0 < last <= 0.0 and since > gap:
-                line, since = line + 1, 0.0
-            else:
-                since += 1
-            last = a
-            out[i] = int(line)
-        return out, np.array([line, since, last])
+        since, last = (0.0, 1.0) if state is None else state
+        now = rows["azimuth"].to_numpy(dtype=float)
+        before = np.concatenate([[last], now[:-1]])
+        starts = np.zeros(len(now), np.int64)
+        at = -1 - int(since)
+        for i in np.flatnonzero((now >= 0) & (now < 1) & (before > -1) & (before <= 0)):
+            if i - at - 1 > gap:
+                starts[i], at = 1, i
+        return starts, np.array([min(len(now) - 1 - at, gap + 1), now[-1]], dtype=float)
 
-    return fold(points.withColumn("azimuth", F.atan2("y", "x")), ["session", "scan_id"], order, block, step, "ring")
+    keys = ["session", "scan_id"]
+    found = fold(points.withColumn("azimuth", F.atan2("y", "x")), keys, order, block, step, "_starts")
+    return running_sum(found, keys, order, block, "_starts", "ring").withColumn("ring", (F.col("ring") + 1).cast("bigint")).drop("_starts")
 
 
 def line_geometry(points: DataFrame, block: Column | None = None) -> DataFrame:
@@ -181,176 +223,6 @@ def line_geometry(points: DataFrame, block: Column | None = None) -> DataFrame:
     )
 
 
-# Feature codes of a scan-line point.
-NORMAL, POSSIBLE_PLANE, REAL_PLANE, EDGE_JUMP, EDGE_PLANE, WIRE = range(6)
-_NEIGHBOUR_OK, _NEIGHBOUR_ZERO, _NEIGHBOUR_180, _NEIGHBOUR_INF, _NEIGHBOUR_BLIND = range(5)
-
-
-def _segment(xyz: np.ndarray, rng: np.ndarray, step: np.ndarray, i: int, p: LineFeatureParams):
-    """Grow a segment from point ``i``: (kind, end, direction); kind 1 means planar."""
-    zero, n = np.zeros(3), len(xyz)
-    limit = (p.dis_a * rng[i] + p.dis_b) ** 2
-    first = rng[i : i + p.group_size]
-    if (first < p.blind).any():
-        return 2, i + int(np.argmax(first < p.blind)), zero
-    gaps, end, span = list(step[i : i + p.group_size]), i + p.group_size, 0.0
-    chord = zero
-    while end < n:
-        if rng[end] < p.blind:
-            return 2, end, zero
-        chord = xyz[end] - xyz[i]
-        span = float(chord @ chord)
-        if span >= limit:
-            break
-        gaps.append(step[end])
-        end += 1
-    off = np.cross(xyz[i + 1 : min(end, n)] - xyz[i], chord)
-    width = float((off * off).sum(axis=1).max()) if len(off) else 0.0
-    if width > 0 and span * span / width < p.line_ratio:
-        return 0, end, zero
-    ordered = np.sort(np.asarray(gaps))[::-1]
-    low, mid = ordered[-2], ordered[len(ordered) // 2]
-    if low < 1e-16:
-        return 0, end, zero
-    if p.mid_ratio_rule:
-        uneven = ordered[0] / mid >= p.max_mid or mid / low >= p.mid_min
-    else:
-        uneven = ordered[0] / low >= p.max_min
-    if uneven:
-        return 0, end, zero
-    length = np.sqrt(chord @ chord)
-    return 1, end, chord / length if length > 0 else chord
-
-
-def classify_line(xyz: np.ndarray, rng: np.ndarray, p: LineFeatureParams) -> np.ndarray:
-    """Feature code per point of one scan line."""
-    n = len(xyz)
-    code = np.full(n, NORMAL)
-    if n <= 5:
-        return code
-    step = np.append(((xyz[:-1] - xyz[1:]) ** 2).sum(axis=1), 0.0)
-    usable = np.flatnonzero(rng >= p.blind)
-    if not len(usable):
-        return code
-    head = int(usable[0])
-    i, was_plane, last_dir = head, False, np.zeros(3)
-    while i < max(n - p.group_size, 0):
-        if rng[i] < p.blind:
-            i += 1
-            continue
-        kind, end, direction = _segment(xyz, rng, step, i, p)
-        if kind == 1:
-            stop = min(end, n - 1)
-            code[i + 1 : stop] = REAL_PLANE
-            code[[i, stop]] = POSSIBLE_PLANE
-            if was_plane and np.linalg.norm(last_dir) > 0.1:
-                code[i] = EDGE_PLANE if abs(float(last_dir @ direction)) < 0.707 else REAL_PLANE
-            was_plane, nxt = True, end
-        else:
-            was_plane, nxt = False, end + 1
-        last_dir, i = direction, max(nxt, i + 1)
-
-    def smooth(i: int, side: int) -> bool:
-        """Spacing on the continuous side of a jump stays even."""
-        near = (i - 1, i - 2) if side == 0 else (i + 1, i + 2)
-        if rng[near[0]] < p.blind or rng[near[1]] < p.blind:
-            return False
-        pair = (step[i - 1], step[i - 2]) if side == 0 else (step[i], step[i + 1])
-        d1, d2 = np.sqrt(max(pair)), np.sqrt(min(pair))
-        return not (d1 > p.edge_a * d2 or d1 - d2 > p.edge_b)
-
-    between = np.full(n, 2.0)
-    for i in range(head + 3, max(n - 3, 0)):
-        if rng[i] < p.blind or code[i] >= REAL_PLANE or step[i - 1] < 1e-16 or step[i] < 1e-16:
-            continue
-        side, vec = [_NEIGHBOUR_OK, _NEIGHBOUR_OK], [np.zeros(3), np.zeros(3)]
-        for j, m in ((0, -1), (1, 1)):
-            if rng[i + m] < p.blind:
-                side[j] = _NEIGHBOUR_INF if rng[i] > p.inf_bound else _NEIGHBOUR_BLIND
-                continue
-            vec[j] = xyz[i + m] - xyz[i]
-            cosine = float(xyz[i] @ vec[j]) / np.linalg.norm(xyz[i]) / np.linalg.norm(vec[j])
-            side[j] = _NEIGHBOUR_180 if cosine < p.jump_up else _NEIGHBOUR_ZERO if cosine > p.jump_down else side[j]
-        lengths = np.linalg.norm(vec[0]) * np.linalg.norm(vec[1])
-        between[i] = float(vec[0] @ vec[1]) / lengths if lengths > 0 else np.nan
-        a, b = side
-        if (a, b) == (_NEIGHBOUR_OK, _NEIGHBOUR_ZERO) and step[i] > 0.0225 and step[i] > 4 * step[i - 1]:
-            jump = between[i] > p.cos160 and smooth(i, 0)
-        elif (a, b) == (_NEIGHBOUR_ZERO, _NEIGHBOUR_OK) and step[i - 1] > 0.0225 and step[i - 1] > 4 * step[i]:
-            jump = between[i] > p.cos160 and smooth(i, 1)
-        elif (a, b) == (_NEIGHBOUR_OK, _NEIGHBOUR_INF):
-            jump = smooth(i, 0)
-        elif (a, b) == (_NEIGHBOUR_INF, _NEIGHBOUR_OK):
-            jump = smooth(i, 1)
-        else:
-            jump = False
-            if a > _NEIGHBOUR_OK and b > _NEIGHBOUR_OK and code[i] == NORMAL:
-                code[i] = WIRE
-        if jump:
-            code[i] = EDGE_JUMP
-    for i in range(head + 1, n - 1):
-        if min(rng[i - 1 : i + 2]) < p.blind or step[i - 1] < 1e-8 or step[i] < 1e-8 or code[i] != NORMAL:
-            continue
-        ratio = max(step[i - 1], step[i]) / min(step[i - 1], step[i])
-        if between[i] < p.small_intersect and ratio < p.small_ratio:
-            for k in (i - 1, i + 1):
-                if code[k] == NORMAL:
-                    code[k] = REAL_PLANE
-            code[i] = REAL_PLANE
-    return code
-
-
-def _surface_groups(code: np.ndarray, keep_every: int) -> np.ndarray:
-    """Group number of each surface point: -1 none, -2 edge point, else an averaged run.
-
-    A run that reaches ``keep_every`` points stands for itself by its last point only.
-    """
-    group, start, number = np.full(len(code), -1), -1, 0
-    for j, c in enumerate(code):
-        if c in (POSSIBLE_PLANE, REAL_PLANE):
-            start = j if start < 0 else start
-            if j == start + keep_every - 1:
-                group[j], number, start = number, number + 1, -1
-        else:
-            if c in (EDGE_JUMP, EDGE_PLANE):
-                group[j] = -2
-            if start >= 0:
-                group[start:j], number = number, number + 1
-            start = -1
-    return group
-
-
-def line_features(points: DataFrame, p: LineFeatureParams = LineFeatureParams()) -> DataFrame:
-    """Feature code and surface group per point.
-
-    The rule walks along one scan line with data-dependent strides, so a line is one
-    group; its length is the sensor's points per turn, whatever the size of the archive.
-    """
-    schema = "session INT, scan_id INT, line INT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, code INT, surface INT"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_idx", kind="stable")
-        xyz = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        rng = np.sqrt((xyz[:, :2] ** 2).sum(axis=1))
-        code = classify_line(xyz, rng, p)
-        out = pdf[[*LINE, "point_idx", "x", "y", "z"]].copy()
-        out["code"], out["surface"] = code, _surface_groups(code, p.keep_every)
-        return out
-
-    return points.groupBy(*LINE).applyInPandas(run, schema)
-
-
-def surface_points(features: DataFrame) -> DataFrame:
-    """Averaged surface points of the classified lines."""
-    return features.filter(F.col("surface") >= 0).groupBy(*LINE, "surface").agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n")
-    )
-
-
-def edge_points(features: DataFrame) -> DataFrame:
-    return features.filter(F.col("surface") == -2)
-
-
 def local_map(track: DataFrame, order: str, side: float, reach: float, threshold: float = 1.5) -> DataFrame:
     """Moves of the cube that bounds the local map: ``moved`` has bits 1-6 for -x, +x, -y, +y, -z, +z.
 

@@ -178,6 +178,14 @@ class LineFeatureParams:
     small_intersect: float = math.cos(math.radians(172.5))
     small_ratio: float = 1.2
     keep_every: int = 1
+    # fixed values of the rules
+    min_points: int = 5  # shorter lines have plain points only
+    tiny_step: float = 1e-16  # squared
+    small_step: float = 1e-8  # squared
+    min_direction: float = 0.1
+    edge_turn: float = 0.707  # cosine
+    jump_step: float = 0.0225  # squared
+    jump_ratio: float = 4.0  # of squared steps
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.operators import imu, points as pt, temporal, windows as wn
+from scanloom.operators import imu, points as pt, scanlines, temporal, windows as wn
 from scanloom.operators.ordered import block_of, neighbour, row_number
 from scanloom.plans.catalog_points import P, POSE_ROT, snapped
 from scanloom.plans.registry import query, s, snap
@@ -117,12 +117,12 @@ def _(v):
 
 @query("wn_line_features")
 def _(v):
-    return wn.line_features(v.points).select(*P, "code", "surface")
+    return scanlines.line_features(v.points).select(*P, "code", "surface")
 
 
 @query("wn_line_plane")
 def _(v):
-    return wn.surface_points(wn.line_features(v.points))
+    return scanlines.surface_points(scanlines.line_features(v.points))
 
 
 @query("flt_every_nth", """SELECT session, scan_id, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY session, scan_id ORDER BY point_idx) rn FROM v_points) WHERE (rn - 1) % 3 = 0""")

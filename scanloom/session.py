@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,16 @@ def build_session(app: str = "scanloom", cores: str | None = None, **conf: str)
     return spark
 
 
+class NotSettled(RuntimeError):
+    """A job that runs until nothing changes met the bound of its rounds; it has no result."""
+
+
+def rounds(limit: int, what: str) -> Iterator[int]:
+    """Count rounds for a loop that breaks when it has settled; running out of them is an error."""
+    yield from range(limit)
+    raise NotSettled(f"{what}: not settled after {limit} rounds")
+
+
 def _checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scanloom.operators import evaluate, windows
+from scanloom.operators import evaluate, scanlines
 from scanloom.params import LineFeatureParams, TrackParams
 from scanloom.sources import poses, scans, sinks
 from scanloom.streaming import sensor, tracks
@@ -91,6 +91,6 @@ def test_confusion_and_octiles(spark):
 def test_line_features_flat_wall_is_planar(spark):
     y = np.arange(-1, 1, 0.01)
     pdf = pd.DataFrame({"session": 0, "scan_id": 0, "line": 0, "point_idx": range(len(y)), "x": 5.0, "y": y, "z": 0.0})
-    out = windows.line_features(spark.createDataFrame(pdf), LineFeatureParams()).toPandas()
+    out = scanlines.line_features(spark.createDataFrame(pdf), LineFeatureParams()).toPandas()
     inner = out[(out["point_idx"] > 5) & (out["point_idx"] < 150)]
-    assert inner["code"].isin([windows.POSSIBLE_PLANE, windows.REAL_PLANE]).mean() > 0.9
+    assert inner["code"].isin([scanlines.CODES["flat_end"], scanlines.CODES["flat"]]).mean() > 0.9
