@@ -17,11 +17,12 @@ Defined results: a null or empty text is the end id alone; repeated rows are pac
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,42 +47,81 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|(?:[^\s\w]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-@dataclass
-class WordIds:
-    """Token ids of texts, with the ids of words remembered between texts."""
+class _Numbers(dict):
+    """Word to running number; words that are new wait in ``new``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
 
-    tokenizer: object
-    by_word: bool
-    limit: int
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    @classmethod
-    def load(cls, blob: str, limit: int) -> WordIds:
-        import json
 
+class WordIds:
+    """Token ids of texts, with the ids of words remembered between texts.
+
+    A text that ``_PIECES`` splits like the tokenizer is looked up word by word; a new word goes
+    straight to the vocabulary's merges. Any other text takes the whole tokenizer.
+    """
+
+    def __init__(self, blob: str, limit: int) -> None:
         from tokenizers import Tokenizer
 
         model = json.loads(blob)
-        steps = [s.get("pattern", {}).get("Regex") for s in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        steps = (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [s.get("type") for s in (model.get("normalizer") or {}).get("normalizers", [])]
-        return cls(Tokenizer.from_str(blob), steps[:1] == [_SPLIT] and kinds == ["NFC", "Replace", "Lowercase"], limit)
+        self.by_word = (
+            [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == _SPLIT
+            and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and kinds == ["NFC", "Replace", "Lowercase"] and model.get("post_processor") is None
+        )
+        self.tokenizer, self.limit, self.letters = Tokenizer.from_str(blob), limit, _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.size = np.zeros(1 << 10, np.int64)
+        self.start = np.zeros(1 << 10, np.int64)
+        self.flat = np.zeros(1 << 12, np.uint32)
+        self.words = self.used = 0
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        letters, tokenize = self.letters, self.tokenizer.model.tokenize
+        found = [[t.id for t in tokenize("".join([letters[b] for b in w.encode()]))] for w in new]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
+        while len(self.size) < self.words + len(new):
+            self.size, self.start = np.append(self.size, np.zeros_like(self.size)), np.append(self.start, np.zeros_like(self.start))
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.size[self.words : self.words + len(new)] = size
+        self.start[self.words : self.words + len(new)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.words, self.used = self.words + len(new), self.used + len(flat)
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_word or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _PIECES.findall(text.lower())
-        if not words:
-            return np.zeros(0, np.uint32)
-        known = self.known
-        try:
-            return np.concatenate([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32)
-            return np.concatenate([known[w] for w in words])
+        if self.words > self.limit:
+            self._forget()
+        words = list(map(self.numbers.__getitem__, _PIECES.findall(text.lower())))
+        if self.numbers.new:
+            self._learn()
+        number = np.array(words, np.int64)
+        size = self.size[number]
+        before = np.cumsum(size) - size
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[number] - before, size)]
 
 
 _loaded: dict[int, WordIds] = {}
@@ -91,7 +131,7 @@ def _word_ids(blob: str, limit: int) -> WordIds:
     name = zlib.crc32(blob.encode())
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = WordIds.load(blob, limit)
+        _loaded[name] = WordIds(blob, limit)
     return _loaded[name]
 
 

@@ -17,7 +17,7 @@ ODD = ["İstanbul ΣΑΣ", "a<|endoftext|>b", "x\x1cy\x85z\xa0w", "½ ² ª º 
 
 def test_ids_by_word_equal_the_tokenizer():
     tokenizer = Tokenizer.from_file(PATH)
-    words = packing.WordIds.load(open(PATH, encoding="utf-8").read(), 50)
+    words = packing.WordIds(open(PATH, encoding="utf-8").read(), 50)
     assert words.by_word
     rng = random.Random(4)
     alphabet = "abcDEF éÉßÀ ñ÷× 019 .,;'!_-|<>\n\t\x0b~" + "'s'll"
