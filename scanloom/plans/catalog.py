@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from scanloom.plans import (  # noqa: F401
     catalog_cells,
     catalog_dynamic,
+    catalog_files,
     catalog_loops,
     catalog_points,
     catalog_sinks,

@@ -336,7 +336,8 @@ def _(v):
 PK = "pq AS (SELECT l_orderkey seq, l_linenumber i, round(l_extendedprice * 100)::BIGINT % 20000 px, l_quantity::INT * 100 py FROM lineitem)"
 
 
-@query("src_packets", f"SELECT count(*)::BIGINT n, {s('sum(x)', 3)} sx, {s('sum(y)', 3)} sy, sum(off)::BIGINT off FROM (SELECT 0.5 - px / 1000 AS x, py / 1000 + 0.25 AS y, (i - 1) // 2 * 10000 AS off FROM (SELECT l_suppkey % 100 px, l_quantity::INT * 100 + 1 py, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) i FROM lineitem))")
+@query("src_packets", f"""SELECT seq, point_idx, seq * 100000 t_ns, (point_idx // 2) * 10000 offset_ns, {s('0.5 - px / 1000')} x, {s('py / 1000 + 0.25')} y, 0.0::DOUBLE z, 1::SMALLINT reflectivity
+  FROM (SELECT l_orderkey seq, l_suppkey % 100 px, l_quantity::INT * 100 + 1 py, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INT point_idx FROM lineitem)""")
 def _(v):
     c = F.col
     point = F.struct((c("l_quantity").cast("int") * 100 + 1).alias("x"), (c("l_suppkey") % 100).cast("int").alias("y"), F.lit(0).alias("z"), F.lit(1).cast("smallint").alias("reflectivity"))
@@ -344,17 +345,4 @@ def _(v):
     packets = v.table("lineitem").groupBy(c("l_orderkey").alias("seq")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r.p).alias("payload"))
     packets = packets.withColumns({"lidar_id": F.lit(0), "stamp": c("seq") * 100000, "stamp_type": F.lit(0), "time_rcv": F.lit(0).cast("bigint")})
     df = pk.packet_points(packets, 10000, 2, (0, -1, 0, 1, 0, 0, 0, 0, 1), (0.5, 0.25, 0.0))
-    return df.agg(F.count("*").alias("n"), snap(F.sum("x"), 3).alias("sx"), snap(F.sum("y"), 3).alias("sy"), F.sum("offset_ns").alias("off"))
-
-
-@query("snk_pose_matrix", f"WITH {POSE_ROT} SELECT session, scan_id, {', '.join(s(c, 4) + ' ' + c for c in (*g.ROT, *g.TRANS))} FROM pr")
-def _(v):
-    lines = sinks.pose_matrix_lines(v.poses)
-    cells = F.split("value", " ")
-    names = [c for i, t in enumerate(g.TRANS) for c in (*g.ROT[3 * i : 3 * i + 3], t)]
-    return lines.select(*SCAN, *[snap(cells[i].cast("double"), 4).alias(n) for i, n in enumerate(names)])
-
-
-@query("snk_odom", "SELECT session, scan_id, tx::FLOAT tx, ty::FLOAT ty, tz::FLOAT tz FROM v_poses")
-def _(v):
-    return sinks.odometry_positions(v.poses)
+    return df.select("seq", "point_idx", "t_ns", "offset_ns", *snapped(["x", "y"]), "z", "reflectivity")

@@ -414,10 +414,3 @@ def _(v):
 @query("jn_semantic_gate", "SELECT session, scan_id, point_idx, (CASE WHEN pred >= 251 AND (label & 65535) < 40 THEN 251 ELSE 9 END)::INT gated FROM v_eval")
 def _(v):
     return evaluate.semantic_gate(v.evaluation, "label").select(*P, "gated")
-
-
-@query("snk_labels", "SELECT session, scan_id, point_idx, (CASE WHEN pred >= 251 THEN 251 ELSE 9 END)::INT label FROM v_eval")
-def _(v):
-    from scanloom.sources.sinks import label_codes
-
-    return label_codes(v.evaluation.withColumn("dyn", F.col("pred") >= 251), "dyn").select(*P, "label")

@@ -13,10 +13,18 @@ from scanloom.schemas import LOOP_TRUTH
 MATRIX = [f"{c}" for i, t in enumerate(g.TRANS) for c in (*g.ROT[3 * i : 3 * i + 3], t)]
 
 
+def number_in(path: Column, name: str) -> Column:
+    """The number of a folder ``name=<n>`` in the path, else the last number of the path."""
+    def find(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).cast("int")
+
+    return F.coalesce(find(rf"/{name}=(\d+)/"), find(r"(\d+)[^/\d]*$"))
+
+
 def _lines(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """(session, line_no, v) of every non-empty line; session is the last number in the path."""
-    df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    df = df.select(F.coalesce(F.expr(r"try_cast(regexp_extract(path, '(\\d+)[^/\\d]*$', 1) AS INT)"), F.lit(0)).alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """(session, line_no, v) of every non-empty line; one file holds one session."""
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    df = df.select(F.coalesce(number_in(F.col("path"), "session"), F.lit(0)).alias("session"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     df = df.filter(F.trim("line") != "")
     return df.select("session", "line_no", F.split(F.trim("line"), separator).alias("v"))
 
@@ -57,9 +65,8 @@ def read_kitti(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pose_per_file(spark: SparkSession, path: str, extrinsic: Sequence[float] | None = None) -> DataFrame:
     """One 4x4 per file, made relative to the first file and post-multiplied by the lidar extrinsic (3x4)."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int").alias("scan_id"), F.split(F.trim("value"), r"\s+").alias("v")
-    ).select("scan_id", *_cols(MATRIX))
+    df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
+    df = df.select(number_in(F.col("path"), "scan_id").alias("scan_id"), *_cols(MATRIX))
     first = df.agg(F.min_by(F.struct(*MATRIX), "scan_id").alias("f"))
     df = df.crossJoin(F.broadcast(first))  # exactly one row
     r, t = g.between(g.cols(g.ROT, "f."), g.cols(g.TRANS, "f."), g.cols(g.ROT), g.cols(g.TRANS))

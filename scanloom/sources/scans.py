@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.schemas import LABELS, POINTS
+from scanloom.sources.poses import number_in
 
 _PCD_TYPES = {("F", 4): "f4", ("F", 8): "f8", ("U", 1): "u1", ("U", 2): "u2", ("U", 4): "u4", ("I", 1): "i1", ("I", 2): "i2", ("I", 4): "i4"}
 _COLUMNS = [c.strip().split(" ")[0] for c in POINTS.split(",")]
@@ -55,22 +56,24 @@ def _rows(fields: dict[str, np.ndarray], session: int, scan: int) -> pd.DataFram
 
 
 def _files(spark: SparkSession, root: str, pattern: str, name: str) -> DataFrame:
-    """Files ``<root>/<session>/<scan>.<ext>``; a missing file is simply no row."""
+    """Files ``<root>/<session>/<scan>.<ext>`` or ``<root>/session=<n>/scan_id=<n>/<any>``; a missing file is no row."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    if pattern.startswith("part-"):
+        return df.select(number_in(F.col("path"), "session").alias("session"), number_in(F.col("path"), "scan_id").alias("scan_id"), "content")
     return df.select(
         F.regexp_extract("path", rf"/(\d+)/[^/]*?(\d+)\.{name}$", 1).cast("int").alias("session"),
         F.regexp_extract("path", rf"/(\d+)/[^/]*?(\d+)\.{name}$", 2).cast("int").alias("scan_id"), "content",
     )
 
 
-def read_scans(spark: SparkSession, root: str) -> DataFrame:
-    """Numbered point files of all sessions."""
+def read_scans(spark: SparkSession, root: str, pattern: str = "*.pcd") -> DataFrame:
+    """Numbered point files of all sessions; ``part-*`` reads what :func:`sinks.write_scan_files` wrote."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 yield _rows(decode_pcd(row.content), row.session, row.scan_id)
 
-    return _files(spark, root, "*.pcd", "pcd").mapInPandas(run, POINTS)
+    return _files(spark, root, pattern, "pcd").mapInPandas(run, POINTS)
 
 
 def read_kitti_bin(spark: SparkSession, root: str) -> DataFrame:

@@ -34,6 +34,26 @@ def write_lines(lines: DataFrame, path: str, order: Sequence[str] = ("session",
     df.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
 
 
+def write_session_files(lines: DataFrame, path: str, order: str = "scan_id") -> None:
+    """One text file per session, as trajectory readers want it: ``session=<n>/``; lines by ``order``."""
+    df = lines.repartition("session").sortWithinPartitions("session", order)
+    df.select("session", "value").write.mode("overwrite").partitionBy("session").text(path)
+
+
+def write_scan_files(points: DataFrame, path: str, fields: Sequence[str] = ("x", "y", "z", "intensity")) -> None:
+    """One ascii point file per scan: ``session=<n>/scan_id=<n>/``; points by ``point_idx``."""
+    line = F.concat_ws(" ", *[F.col(c).cast("float").cast("string") for c in fields])
+    scans = points.groupBy(*SCAN).agg(F.sort_array(F.collect_list(F.struct("point_idx", line.alias("line")))).alias("rows"))
+    count = F.size("rows").cast("string")
+    n = len(fields)
+    head = [
+        F.lit("VERSION .7"), F.lit("FIELDS " + " ".join(fields)), F.lit("SIZE" + " 4" * n), F.lit("TYPE" + " F" * n), F.lit("COUNT" + " 1" * n),
+        F.concat(F.lit("WIDTH "), count), F.lit("HEIGHT 1"), F.lit("VIEWPOINT 0 0 0 1 0 0 0"), F.concat(F.lit("POINTS "), count), F.lit("DATA ascii"),
+    ]
+    value = F.concat_ws("\n", *head, F.array_join(F.transform("rows", lambda r: r.line), "\n"))
+    scans.select(*SCAN, value.alias("value")).write.mode("overwrite").partitionBy(*SCAN).text(path)
+
+
 def write_pose_matrix(poses: DataFrame, path: str) -> None:
     write_lines(pose_matrix_lines(poses), path)
 
