@@ -15,6 +15,7 @@ from scanloom.params import CaseParams, DynamicParams, PoseGraphParams, TrackPar
 from scanloom.plans.catalog_cells import COMP, MOVING, SCAN, VOX4, moving
 from scanloom.plans.catalog_points import P, POSE_ROT, snapped
 from scanloom.plans.catalog_windows import point_block
+from scanloom.plans import scene_sql as sq
 from scanloom.plans.registry import query, s, snap
 from scanloom.session import cut
 from scanloom.sources import packets as pk, sinks
@@ -33,8 +34,8 @@ def local_points(v):
 
 
 def prepared(v):
-    pts, scans = local_points(v)
-    return dy.Prepared(pts, scans, DYN)
+    """Images and probes of the moving sensor."""
+    return dy.Prepared(v.points.select(*P, "x", (F.col("y") + sq.SHIFT).alias("y"), "z"), v.poses, DYN)
 
 
 IMAGE = """im AS (SELECT session, scan_id, point_idx, sqrt(x * x + y * y + z * z) depth, floor((atan2(y, x) + 3.141593::DOUBLE) / 0.1::DOUBLE)::BIGINT hor, floor((atan2(z, sqrt(x * x + y * y)) + 0.5 * 3.141593::DOUBLE) / 0.05::DOUBLE)::BIGINT ver
@@ -85,14 +86,14 @@ def _(v):
     return hits.groupBy(*P).agg(F.count("*").alias("n"))
 
 
-@query("dl_case1_enter")
+@query("dl_case1_enter", f"WITH {sq.scene(DYN)}, {sq.entered(DYN)} SELECT {sq.POINT}, map_id FROM e1")
 def _(v):
     d = prepared(v)
     _, pixels = d.image(None)
     return dy.case1_enter(d.probe, pixels, DYN).select(*P, "map_id")
 
 
-@query("dl_case1_reject")
+@query("dl_case1_reject", f"WITH {sq.scene(DYN)}, {sq.entered(DYN)}, {sq.rejected(DYN)} SELECT {sq.POINT}, map_id FROM r1")
 def _(v):
     d = prepared(v)
     image, pixels = d.image(None)
@@ -116,25 +117,27 @@ def _(v):
 def _case(name, approach):
     case = "case3" if approach else "case2"
 
-    @query(f"dl_{name}_enter")
+    @query(f"dl_{name}_enter", f"WITH {sq.scene(DYN)}, {sq.case_entered(WIDE, approach)} SELECT {sq.POINT}, map_id FROM ce")
     def _(v):
         d = prepared(v)
         _, pixels = d.image(None)
         return dy.case_enter(d.probe.filter(F.col("age") == 0), pixels, getattr(DYN, case), approach).select(*P, "map_id")
 
-    @query(f"dl_{name}_consistent")
+    newest = "nw AS MATERIALIZED (SELECT * FROM pb WHERE age = 0)"
+
+    @query(f"dl_{name}_consistent", f"WITH {sq.scene(DYN)}, {newest}, {sq.case_consistent(WIDE, DYN, approach, 'nw', 'cc')} SELECT {sq.POINT}, map_id FROM cc")
     def _(v):
         d = prepared(v)
         image, pixels = d.image(None)
         return dy.case_consistent(d.probe.filter(F.col("age") == 0), image, pixels, DYN, getattr(DYN, case), approach).select(*P, "map_id")
 
-    @query(f"dl_{name}_search")
+    @query(f"dl_{name}_search", f"WITH {sq.scene(DYN)}, {newest}, {sq.occluding(WIDE, approach, True, 'nw', 'oc', 'p.session, p.scan_id, p.point_idx, p.map_id')} SELECT {sq.POINT}, map_id, o_scan, o_pid FROM oc")
     def _(v):
         d = prepared(v)
         image, pixels = d.image(None)
         return dy.occluders(d.probe.filter(F.col("age") == 0), image, pixels, DYN, getattr(DYN, case), approach, True).select(*P, "map_id", "o_scan", "o_pid")
 
-    @query(f"dl_{name}")
+    @query(f"dl_{name}", f"WITH {sq.chain(WIDE, DYN, approach)}")
     def _(v):
         d = prepared(v)
         image, pixels = d.image(None)
@@ -145,7 +148,7 @@ _case("case2", False)
 _case("case3", True)
 
 
-@query("ag_depth_consistency")
+@query("ag_depth_consistency", f"WITH {sq.scene(DYN)}, {sq.consistent_depth(WIDE, DYN)} SELECT session, map_id, o_scan, o_pid FROM dc")
 def _(v):
     d = prepared(v)
     image, _ = d.image(None)
@@ -155,8 +158,7 @@ def _(v):
 @query("gr_dynamic_label")
 def _(v):
     # Images three seconds old keep the chain of labels that depend on labels short.
-    pts, scans = local_points(v)
-    return dy.label_points(pts, scans, replace(DYN, max_maps=2, min_maps=1, case1_interp=False, buffer_delay=3.0))
+    return dy.label_points(v.points.select(*P, "x", (F.col("y") + sq.SHIFT).alias("y"), "z"), v.poses, replace(DYN, max_maps=2, min_maps=1, case1_interp=False, buffer_delay=3.0))
 
 
 @query("dl_from_labels", "SELECT session, scan_id, point_idx FROM v_points JOIN v_eval USING (session, scan_id, point_idx) WHERE pred >= 251")
