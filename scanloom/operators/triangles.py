@@ -94,34 +94,39 @@ def binary_similarity(a_bits: Column, b_bits: Column, a_sum: Column, b_sum: Colu
     return 2.0 * F.bit_count(a_bits.bitwiseAND(b_bits)) / (a_sum + b_sum)
 
 
+def _slim(df: DataFrame, side: str, frame: dict[str, str]) -> DataFrame:
+    """Sides, bits and counts of descriptors as ``<side>_*``: all that a comparison needs."""
+    corners = [x for c in CORNERS for x in (F.col(f"{c}.bits").alias(f"{side}_{c}"), F.col(f"{c}.summary").alias(f"{side}_n{c}"))]
+    return df.select(*[F.col(k).alias(v) for k, v in frame.items()], F.col("sid").alias(f"{side}_sid"), *[F.col(x).alias(f"{side}_{x}") for x in SIDES], *corners)
+
+
 def lookup(query: DataFrame, store: DataFrame, p: LoopParams, within_session: bool = True) -> DataFrame:
     """Matching descriptor pairs: (session, keyframe, map_session, db_keyframe, q, d, side_dist, similarity).
 
-    The query visits the key cells around its sides that come closer than 1.5, then the
-    equal-key join is narrowed by frame gap, side distance and similarity, cheapest first.
+    The query visits the key cells around its sides that come closer than 1.5. Slim rows meet in
+    an equal-key join that is narrowed by frame gap, side distance and similarity, cheapest
+    first; only hits fetch the corners of both descriptors.
     """
-    incs = F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(c, KEY)]) for c in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]])
-    side = ["a", "b", "c"]
-    cols = ["sid", *side, *CORNERS]
-    q = query.select(*FRAME, F.struct(*cols).alias("q")).withColumn("_i", F.explode(incs))
-    q = q.withColumns({k: F.floor(F.col(f"q.{s}") + F.col(f"_i.{k}")).cast("int") for k, s in zip(KEY, side)})
-    off = None
-    for k, s in zip(KEY, side):
-        t = (F.col(f"q.{s}") - (F.col(k) + 0.5)) * (F.col(f"q.{s}") - (F.col(k) + 0.5))
-        off = t if off is None else off + t
-    q = q.filter(off < 1.5 * 1.5).drop("_i")
-    d = store.select(F.col("session").alias("map_session"), F.col("keyframe").alias("db_keyframe"), *KEY, F.struct(*cols).alias("d"))
-    gap = F.col("keyframe") - F.col("db_keyframe") > p.skip_near
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(c, KEY)]) for c in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]])
+    cells = F.transform(steps, lambda i: F.struct(*[F.floor(F.col(f"q_{x}") + i[k]).cast("int").alias(k) for k, x in zip(KEY, SIDES)]))
+    gap2 = lambda c, k, x: (F.col(f"q_{x}") - (c[k] + 0.5)) * (F.col(f"q_{x}") - (c[k] + 0.5))
+    close = F.filter(cells, lambda c: gap2(c, *list(zip(KEY, SIDES))[0]) + gap2(c, *list(zip(KEY, SIDES))[1]) + gap2(c, *list(zip(KEY, SIDES))[2]) < 1.5 * 1.5)
+    q = _slim(query, "q", {"session": "session", "keyframe": "keyframe"}).withColumn("_c", F.explode(close)).select("*", "_c.*").drop("_c")
+    d = store.select(*KEY, "session", "keyframe", "sid", *SIDES, *CORNERS)
+    d = _slim(d.withColumnsRenamed({"session": "map_session", "keyframe": "db_keyframe"}), "d", {"map_session": "map_session", "db_keyframe": "db_keyframe"} | {k: k for k in KEY})
     order = (F.col("map_session") <= F.col("session")) if within_session else (F.col("map_session") < F.col("session"))
-    diff, size = None, None
-    for s in side:
-        t = (F.col(f"q.{s}") - F.col(f"d.{s}")) * (F.col(f"q.{s}") - F.col(f"d.{s}"))
-        u = F.col(f"q.{s}") * F.col(f"q.{s}")
-        diff, size = (t, u) if diff is None else (diff + t, size + u)
-    hit = q.join(d, list(KEY)).filter(gap & order).withColumn("side_dist", F.sqrt(diff)).withColumn("_len", F.sqrt(size))
-    hit = hit.filter(F.col("side_dist") < F.col("_len") * p.side_ratio)
-    hit = hit.withColumn("similarity", similarity("q", "d")).filter(F.col("similarity") > p.similarity)
-    return hit.select(*FRAME, "map_session", "db_keyframe", "q", "d", "side_dist", "_len", "similarity")
+    diff = sum(((F.col(f"q_{x}") - F.col(f"d_{x}")) * (F.col(f"q_{x}") - F.col(f"d_{x}")) for x in SIDES[1:]), (F.col("q_a") - F.col("d_a")) * (F.col("q_a") - F.col("d_a")))
+    size = sum((F.col(f"q_{x}") * F.col(f"q_{x}") for x in SIDES[1:]), F.col("q_a") * F.col("q_a"))
+    hit = q.join(d, list(KEY)).filter((F.col("keyframe") - F.col("db_keyframe") > p.skip_near) & order)
+    hit = hit.withColumn("side_dist", F.sqrt(diff)).withColumn("_len", F.sqrt(size)).filter(F.col("side_dist") < F.col("_len") * p.side_ratio)
+    alike = [binary_similarity(F.col(f"q_{c}"), F.col(f"d_{c}"), F.col(f"q_n{c}"), F.col(f"d_n{c}")) for c in CORNERS]
+    hit = hit.withColumn("similarity", (alike[0] + alike[1] + alike[2]) / 3).filter(F.col("similarity") > p.similarity)
+    hit = hit.select(*FRAME, "map_session", "db_keyframe", "q_sid", "d_sid", "side_dist", "_len", "similarity")
+    cols = ["sid", *SIDES, *CORNERS]
+    wide_q = query.select(*FRAME, F.col("sid").alias("q_sid"), F.struct(*cols).alias("q"))
+    wide_d = store.select(F.col("session").alias("map_session"), F.col("keyframe").alias("db_keyframe"), F.col("sid").alias("d_sid"), F.struct(*cols).alias("d"))
+    out = hit.join(wide_q, [*FRAME, "q_sid"]).join(wide_d, ["map_session", "db_keyframe", "d_sid"])
+    return out.select(*FRAME, "map_session", "db_keyframe", "q", "d", "side_dist", "_len", "similarity")
 
 
 PAIR = ("session", "keyframe", "map_session", "db_keyframe")

@@ -10,6 +10,7 @@ from scanloom.params import KeypointParams, LoopParams, TriangleParams
 from scanloom.plans.catalog_cells import D2, SCAN, keyframe_planes
 from scanloom.plans.catalog_points import P, snapped
 from scanloom.plans.registry import query, s, snap
+from scanloom.session import cut
 
 FRAME = ["session", "keyframe"]
 TRI = TriangleParams(neighbours=8, min_side=1.0, max_side=30.0, resolution=2.0)
@@ -89,7 +90,7 @@ def _(v):
 
 
 def matches(v):
-    d = descriptors(v)
+    d = cut(descriptors(v))
     return tr.lookup(d, d, LOOP)
 
 
