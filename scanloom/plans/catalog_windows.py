@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scanloom.functions import geometry as g
 from scanloom.operators import imu, points as pt, scanlines, temporal, windows as wn
 from scanloom.operators.ordered import block_of, neighbour, row_number
+from scanloom.params import LineFeatureParams
 from scanloom.plans.catalog_points import P, POSE_ROT, snapped
 from scanloom.plans.registry import query, s, snap
 
@@ -115,14 +116,67 @@ def _(v):
     return df.select(*P, *snapped(["range", "step2", "cos_between"]))
 
 
-@query("wn_line_features")
+# Wide limits, so that every rule finds something in scattered points.
+LINE_P = LineFeatureParams(
+    blind=3.0, inf_bound=20.0, line_ratio=0.6, max_mid=60.0, mid_min=60.0, jump_up=-0.6, jump_down=0.6, cos160=-0.95,
+    edge_a=30.0, edge_b=60.0, small_intersect=-0.2, small_ratio=30.0, keep_every=3,
+)
+
+
+def line_sql(p: LineFeatureParams) -> str:
+    """Scan-line rules in SQL; the walk along the stretches is a recursion over all lines at once."""
+    key = "session, scan_id, line"
+    on = "b.session = a.session AND b.scan_id = a.scan_id AND b.line = a.line"
+    sq = lambda q, r: " + ".join(f"({q}.{c} - {r}.{c}) * ({q}.{c} - {r}.{c})" for c in "xyz")
+    cross = " + ".join(f"power((k.{u} - s.{u}) * (e.{w} - s.{w}) - (k.{w} - s.{w}) * (e.{u} - s.{u}), 2)" for u, w in ("yz", "zx", "xy"))
+    unit = lambda c: f"(e.{c} - s.{c}) / sqrt(greatest(s.len2, 1e-300))"
+    even = lambda n1, n2, s1, s2: f"coalesce({n1} >= {p.blind} AND {n2} >= {p.blind} AND sqrt(greatest({s1}, {s2})) <= {p.edge_a} * sqrt(least({s1}, {s2})) AND sqrt(greatest({s1}, {s2})) - sqrt(least({s1}, {s2})) <= {p.edge_b}, false)"
+    kind = lambda r, c: f"CASE WHEN {r} < {p.blind} THEN CASE WHEN rng > {p.inf_bound} THEN 'far' ELSE 'near' END WHEN {c} < {p.jump_up} THEN 'behind' WHEN {c} > {p.jump_down} THEN 'beam' ELSE 'regular' END"
+    return f"""WITH RECURSIVE l0 AS (SELECT {key}, point_idx, x, y, z, sqrt(x * x + y * y) rng, row_number() OVER w - 1 pos, count(*) OVER (PARTITION BY {key}) n FROM v_points WINDOW w AS (PARTITION BY {key} ORDER BY point_idx)),
+  l1 AS MATERIALIZED (SELECT *, coalesce({' + '.join(f'power(lead({c}) OVER w - {c}, 2)' for c in 'xyz')}, 0.0) step, min(pos) FILTER (rng >= {p.blind}) OVER (PARTITION BY {key}) seen,
+    coalesce(min(CASE WHEN rng < {p.blind} THEN pos END) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) hid FROM l0 WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+  s0 AS (SELECT a.*, coalesce((SELECT min(b.pos) FROM l1 b WHERE {on} AND b.pos >= a.pos + {p.group_size} AND {sq('b', 'a')} >= power({p.dis_a} * a.rng + {p.dis_b}, 2)), a.n) far FROM l1 a WHERE a.n > {p.min_points} AND a.pos < a.n - {p.group_size}),
+  s1 AS MATERIALIZED (SELECT * EXCLUDE (far), hid <= least(far, n - 1) AS cut, CASE WHEN hid <= least(far, n - 1) THEN hid ELSE far END fin FROM s0),
+  s2 AS (SELECT s.*, {sq('e', 's')} len2 FROM s1 s JOIN l1 e ON e.session = s.session AND e.scan_id = s.scan_id AND e.line = s.line AND e.pos = least(s.fin, s.n - 1) WHERE NOT cut),
+  s3 AS (SELECT s.session, s.scan_id, s.line, s.pos, any_value(s.fin) fin, any_value(s.n) n, any_value(s.len2) len2, {', '.join(f'any_value({unit(c)}) d{c}' for c in 'xyz')},
+    coalesce(max({cross}) FILTER (k.pos > s.pos), 0.0) width, list_sort(list(k.step)) sp
+    FROM s2 s JOIN l1 e ON e.session = s.session AND e.scan_id = s.scan_id AND e.line = s.line AND e.pos = least(s.fin, s.n - 1)
+    JOIN l1 k ON k.session = s.session AND k.scan_id = s.scan_id AND k.line = s.line AND k.pos >= s.pos AND k.pos < s.fin GROUP BY 1, 2, 3, 4),
+  s4 AS (SELECT * FROM s3 WHERE NOT (width > 0 AND len2 * len2 < {p.line_ratio} * width) AND sp[2] >= {p.tiny_step} AND sp[-1] < {p.max_mid} * sp[len(sp) - len(sp) // 2] AND sp[len(sp) - len(sp) // 2] < {p.mid_min} * sp[2]),
+  nx AS MATERIALIZED (SELECT s1.session, s1.scan_id, s1.line, s1.pos, CASE WHEN s4.pos IS NOT NULL THEN s1.fin ELSE greatest(s1.fin, s1.pos) + 1 END nxt FROM s1 LEFT JOIN s4 USING (session, scan_id, line, pos)),
+  wk AS (SELECT {key}, pos FROM nx WHERE pos = 0 UNION ALL SELECT nx.session, nx.scan_id, nx.line, t.pos FROM wk JOIN nx USING (session, scan_id, line, pos) JOIN nx t ON t.session = nx.session AND t.scan_id = nx.scan_id AND t.line = nx.line AND t.pos = nx.nxt),
+  fl AS (SELECT *, lag(fin) OVER v = pos AS follows, lag(dx) OVER v * dx + lag(dy) OVER v * dy + lag(dz) OVER v * dz turn, sqrt(lag(dx) OVER v * lag(dx) OVER v + lag(dy) OVER v * lag(dy) OVER v + lag(dz) OVER v * lag(dz) OVER v) old
+    FROM s4 SEMI JOIN wk USING (session, scan_id, line, pos) WINDOW v AS (PARTITION BY {key} ORDER BY pos)),
+  fc AS (SELECT {key}, pos AS first, unnest(range(pos, least(fin, n - 1) + 1)) pos, least(fin, n - 1) AS last, CASE WHEN NOT coalesce(follows, false) OR old <= {p.min_direction} THEN 1 WHEN abs(turn) < {p.edge_turn} THEN 4 ELSE 2 END head FROM fl),
+  pc AS (SELECT {key}, pos, arg_max(CASE WHEN pos = first THEN head WHEN pos = last THEN 1 ELSE 2 END, first) code FROM fc GROUP BY 1, 2, 3, 4),
+  g0 AS (SELECT l1.*, coalesce(code, 0) code, {', '.join(f'lag({c}) OVER w p{c}, lead({c}) OVER w q{c}' for c in 'xyz')}, lag(rng, 2) OVER w r2, lag(rng) OVER w r1, lead(rng) OVER w t1, lead(rng, 2) OVER w t2, lag(step, 2) OVER w u2, lag(step) OVER w u1, lead(step) OVER w v1
+    FROM l1 LEFT JOIN pc USING (session, scan_id, line, pos) WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+  g1 AS (SELECT *, n > {p.min_points} AND rng >= {p.blind} AND pos >= seen + 3 AND pos < n - 3 AND code < 2 AND u1 >= {p.tiny_step} AND step >= {p.tiny_step} AS tested, sqrt(x * x + y * y + z * z) nn,
+    sqrt({' + '.join(f'power(p{c} - {c}, 2)' for c in 'xyz')}) la, sqrt({' + '.join(f'power(q{c} - {c}, 2)' for c in 'xyz')}) lb,
+    {' + '.join(f'{c} * (p{c} - {c})' for c in 'xyz')} pa, {' + '.join(f'{c} * (q{c} - {c})' for c in 'xyz')} pb, {' + '.join(f'(p{c} - {c}) * (q{c} - {c})' for c in 'xyz')} ab FROM g0),
+  g2 AS (SELECT *, {kind('r1', 'pa / (nn * la)')} || '-' || {kind('t1', 'pb / (nn * lb)')} sides, CASE WHEN tested AND r1 >= {p.blind} AND t1 >= {p.blind} THEN ab / (la * lb) END between_, {even('r1', 'r2', 'u1', 'u2')} ea, {even('t1', 't2', 'step', 'v1')} eb FROM g1),
+  g3 AS (SELECT * REPLACE (CASE WHEN coalesce(tested, false) AND (CASE WHEN sides = 'regular-beam' AND step > {p.jump_step} AND step > {p.jump_ratio} * u1 THEN coalesce(between_ > {p.cos160}, false) AND ea
+      WHEN sides = 'beam-regular' AND u1 > {p.jump_step} AND u1 > {p.jump_ratio} * step THEN coalesce(between_ > {p.cos160}, false) AND eb WHEN sides = 'regular-far' THEN ea WHEN sides = 'far-regular' THEN eb ELSE false END) THEN 3
+    WHEN coalesce(tested, false) AND sides NOT LIKE 'regular%' AND sides NOT LIKE '%regular' AND code = 0 THEN 5 ELSE code END AS code) FROM g2),
+  g4 AS (SELECT *, coalesce(code = 0 AND pos > seen AND pos < n - 1 AND least(r1, rng, t1) >= {p.blind} AND u1 >= {p.small_step} AND step >= {p.small_step} AND between_ < {p.small_intersect} AND greatest(u1, step) < {p.small_ratio} * least(u1, step), false) acts FROM g3),
+  g5 AS (SELECT *, acts AND (pos - coalesce(max(CASE WHEN NOT acts THEN pos END) OVER (PARTITION BY {key} ORDER BY pos), -1)) % 2 = 1 AS act2 FROM g4),
+  g6 AS (SELECT * REPLACE (CASE WHEN code = 0 AND (act2 OR coalesce(lag(act2) OVER w, false) OR coalesce(lead(act2) OVER w, false)) THEN 2 ELSE code END AS code) FROM g5 WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+  h0 AS (SELECT *, coalesce(max(CASE WHEN code NOT IN (1, 2) THEN pos END) OVER (PARTITION BY {key} ORDER BY pos), -1) brk FROM g6),
+  h1 AS (SELECT *, (pos - brk - 1) // {p.keep_every} part, (pos - brk - 1) % {p.keep_every} AS inp FROM h0),
+  h2 AS (SELECT *, count(*) OVER v = {p.keep_every} AS full_, max(pos) OVER v lastp FROM h1 WINDOW v AS (PARTITION BY {key}, brk, part, code IN (1, 2))),
+  h3 AS (SELECT *, code IN (1, 2) AND (CASE WHEN full_ THEN inp = {p.keep_every - 1} ELSE lastp < n - 1 END) shown FROM h2),
+  h4 AS (SELECT *, sum(CASE WHEN shown AND (full_ OR inp = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos) - 1 number FROM h3),
+  lf AS (SELECT {key}, point_idx, x, y, z, code::INT code, (CASE WHEN shown THEN number WHEN code IN (3, 4) THEN -2 ELSE -1 END)::INT surface FROM h4)"""
+
+
+@query("wn_line_features", f"{line_sql(LINE_P)} SELECT session, scan_id, point_idx, code, surface FROM lf")
 def _(v):
-    return scanlines.line_features(v.points).select(*P, "code", "surface")
+    return scanlines.line_features(v.points, LINE_P).select(*P, "code", "surface")
 
 
-@query("wn_line_plane")
+@query("wn_line_plane", f"{line_sql(LINE_P)} SELECT session, scan_id, line, surface, {', '.join(s(f'avg({c})', 4) + ' ' + c for c in 'xyz')}, count(*) n FROM lf WHERE surface >= 0 GROUP BY 1, 2, 3, 4")
 def _(v):
-    return scanlines.surface_points(scanlines.line_features(v.points))
+    return scanlines.surface_points(scanlines.line_features(v.points, LINE_P)).withColumns({c: snap(F.col(c), 4) for c in "xyz"})
 
 
 @query("flt_every_nth", """SELECT session, scan_id, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY session, scan_id ORDER BY point_idx) rn FROM v_points) WHERE (rn - 1) % 3 = 0""")
