@@ -16,7 +16,29 @@ def test_components_of_a_path_settle_or_fail(spark):
     path = spark.range(0, 63).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.comp for r in components.connected_components(path).collect()} == {0}
     with pytest.raises(NotSettled):
-        components.connected_components(path, max_rounds=2)
+        components.connected_components(path, max_rounds=2, batch_merge=False)
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_components_equal_union_find(spark, merge):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"s": rng.integers(0, 3, 900), "name": rng.choice(["x", "y"], 900), "a": rng.integers(0, 400, 900), "b": rng.integers(0, 400, 900)})
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for s, k, a, b in pdf.itertuples(index=False):
+        x, y = find((s, k, a)), find((s, k, b))
+        root[max(x, y)] = min(x, y)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = components.connected_components(spark.createDataFrame(pdf).repartition(4), ["s", "name"], batch_merge=merge).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {((r.s, r.name, r.node), r.comp) for r in got} == {(n, find(n)[2]) for n in root}
 
 
 def test_nearest_neighbours_fail_on_a_small_bound(spark):
