@@ -244,19 +244,7 @@ def _(v):
 
 @query("st_late", """WITH q AS (SELECT session, seq, CASE WHEN value < lag(value) OVER (PARTITION BY session ORDER BY seq) - 300 THEN 1 ELSE 0 END b FROM v_stream) SELECT session, seq, sum(b) OVER (PARTITION BY session ORDER BY seq)::INT run FROM q""")
 def _(v):
-    df = v.stream.withColumn("clock", F.col("value"))
-    return _resets(df).select("session", "seq", "run")
-
-
-def _resets(df):
-    """A reset is a drop of more than 300 in the clock column."""
-    from scanloom.operators.ordered import neighbour
-
-    marked = neighbour(df, ["session"], "seq", block_of(F.col("seq")), ["clock"])
-    stepped = marked.withColumn("t0", F.when(F.col("clock") < F.col("prev.clock") - 300, F.lit(-1.0)).otherwise(F.lit(0.0)))
-    jumps = stepped.filter(F.col("t0") < 0).select("session", F.col("seq").alias("_at"))
-    lists = jumps.groupBy("session").agg(F.collect_list("_at").alias("_r"))
-    return df.join(lists, "session", "left").withColumn("run", F.coalesce(F.size(F.filter("_r", lambda a: a <= F.col("seq"))), F.lit(0)))
+    return st.restart_sessions(v.stream, ["session"], "seq", "value", block_of(F.col("seq")), 300.0).select("session", "seq", "run")
 
 
 @query("st_gap_fill", """WITH q AS (SELECT session, t_us, lag(t_us) OVER (PARTITION BY session ORDER BY t_us) p FROM v_stream), f AS (SELECT session, unnest(range(p + 20000000, t_us, 20000000)) t_us FROM q WHERE t_us - p > 60000000)
@@ -272,14 +260,6 @@ def _(v):
     return st.clock_offset(scans, imu, ["session"]).select("session", "seq", snap(F.col("t"), 3).alias("t"))
 
 
-@query("st_sync", """SELECT a.session, a.seq, b.seq sample FROM v_stream a JOIN v_stream b ON a.session = b.session WHERE a.event_type = 'view' AND b.event_type = 'error' AND b.ts > a.ts - INTERVAL 60 SECOND AND b.ts <= a.ts""")
-def _(v):
-    a = v.stream.filter(F.col("event_type") == "view").select("session", "seq", (F.col("ts") - F.expr("INTERVAL 60 SECONDS")).alias("start_ts"), F.col("ts").alias("end_ts"), F.floor(F.col("t") / 60).alias("_b"))
-    b = v.stream.filter(F.col("event_type") == "error").select("session", F.col("seq").alias("sample"), F.col("ts").alias("imu_ts"), F.floor(F.col("t") / 60).alias("_b"))
-    b = b.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") + 1)))
-    return a.join(b, ["session", "_b"]).filter((F.col("imu_ts") > F.col("start_ts")) & (F.col("imu_ts") <= F.col("end_ts"))).select("session", "seq", "sample")
-
-
 def run_stream(v, build, source: str):
     """Run a stream over one driver table to its end and read the table it wrote."""
     spark = v.spark
@@ -294,22 +274,60 @@ def run_stream(v, build, source: str):
     return spark.read.schema(out.schema).parquet(base + "/out")
 
 
-@query("st_epochs")
+EPOCHS = """RECURSIVE q AS (SELECT (user_id % 8)::INT session, epoch_us(ts) / 1000000.0::DOUBLE t FROM events),
+  e AS (SELECT session, min(t) st, 0::BIGINT epoch FROM q GROUP BY session UNION ALL SELECT e.session, min(q.t), e.epoch + 1 FROM e JOIN q ON q.session = e.session AND q.t - e.st >= 120 GROUP BY e.session, e.epoch)"""
+
+
+@query("st_epochs", f"WITH {EPOCHS} SELECT q.session, {s('q.t', 3)} t, e.epoch, greatest(e.epoch - 4, 0)::BIGINT oldest FROM q ASOF JOIN e ON q.session = e.session AND q.t >= e.st")
 def _(v):
     def build(stream):
-        pts = stream.select((F.col("user_id") % 8).cast("int").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+        pts = stream.select((F.col("user_id") % 8).cast("int").alias("session"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("t"))
         return st.epoch_stream(pts, 120.0, 5)
 
     return run_stream(v, build, "events").select("session", snap(F.col("t"), 3).alias("t"), "epoch", "oldest")
 
 
-@query("src_stream_scans")
+def landed(v, df, name: str, files: int = 1) -> str:
+    """Folder with the rows of ``df`` in several files, for a stream to read."""
+    from scanloom.session import _checkpoint_dir
+
+    _checkpoint_dir(v.spark)
+    path = os.path.join(v.spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+    df.repartition(files).write.parquet(path)
+    return path
+
+
+def drained(v, stream):
+    """Run a stream to its end and read the table it wrote."""
+    base = landed(v, v.spark.range(0), "drain")
+    q = stream.writeStream.format("parquet").option("path", base + "-out").option("checkpointLocation", base + "-state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return v.spark.read.schema(stream.schema).parquet(base + "-out")
+
+
+@query("st_sync", """SELECT a.session, a.seq, b.seq sample FROM v_stream a JOIN v_stream b ON a.session = b.session WHERE a.event_type = 'view' AND b.event_type = 'error' AND b.ts > a.ts - INTERVAL 60 SECOND AND b.ts <= a.ts""")
 def _(v):
-    def build(stream):
-        timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-        return timed.filter(F.col("event_type") == "view").select("event_id", "ts", "value")
+    c = F.col
+    scans = v.stream.filter(c("event_type") == "view").select("session", "seq", (c("ts").cast("timestamp") - F.expr("INTERVAL 60 SECONDS")).alias("start_ts"), c("ts").cast("timestamp").alias("end_ts"))
+    imu = v.stream.filter(c("event_type") == "error").select("session", c("seq").alias("sample"), c("ts").cast("timestamp").alias("imu_ts"))
+    left, right = ((landed(v, df, "sync", 3), df.schema) for df in (scans, imu))
+    streams = [v.spark.readStream.schema(schema).parquet(path) for path, schema in (left, right)]
+    return drained(v, st.sync(*streams, "session", "400 days")).select("session", "seq", "sample")
 
-    return run_stream(v, build, "events")
+
+@query("src_stream_scans", f"SELECT session::SMALLINT lidar_id, scan_id::BIGINT * 100000000 + offset_ns t_ns, {', '.join(s(f'{c}::FLOAT::DOUBLE', 3) + ' ' + c for c in 'xyz')}, (point_idx % 200)::SMALLINT reflectivity, tag::SMALLINT tag, line::SMALLINT line FROM v_points")
+def _(v):
+    c = F.col
+    point = F.struct(
+        c("offset_ns").cast("bigint").alias("offset_time"), *[c(a).cast("float").alias(a) for a in "xyz"],
+        (c("point_idx") % 200).cast("smallint").alias("reflectivity"), c("tag").cast("smallint").alias("tag"), c("line").cast("smallint").alias("line"),
+    )
+    messages = v.points.groupBy(*SCAN).agg(F.collect_list(point).alias("points")).select(
+        F.timestamp_seconds(c("scan_id") * 0.1).alias("ts"), (c("scan_id").cast("bigint") * 100000000).alias("timebase"), F.size("points").cast("bigint").alias("point_num"),
+        c("session").cast("smallint").alias("lidar_id"), "points",
+    )
+    df = drained(v, st.scan_stream(v.spark, landed(v, messages, "messages", 3)))
+    return df.select("lidar_id", "t_ns", *[snap(c(a).cast("double"), 3).alias(a) for a in "xyz"], "reflectivity", "tag", "line")
 
 
 def box_stream(v):

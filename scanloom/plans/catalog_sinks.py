@@ -11,12 +11,13 @@ from scanloom.functions import geometry as g
 from scanloom.operators import dynamic as dy, posegraph as pg, windows as wn
 from scanloom.operators.cells import nearest_capped
 from scanloom.plans.catalog_cells import MERGED, SCAN, merged_map
-from scanloom.plans.catalog_dynamic import DYN, box_stream, prepared, run_stream
+from scanloom.plans.catalog_dynamic import box_stream, drained, landed, prepared
 from scanloom.plans.catalog_points import P, snapped
 from scanloom.plans.registry import query, s, snap
 from scanloom.params import TrackParams
 from scanloom.session import _checkpoint_dir
 from scanloom.sources import sinks
+from scanloom.streaming import sensor
 
 
 def scratch(v, name: str) -> str:
@@ -74,12 +75,11 @@ def _(v):
     return v.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("src_stream_imu", f"SELECT event_id, {s('epoch_us(ts) / 1000000.0::DOUBLE + 0.25', 3)} t FROM events")
+@query("src_stream_imu", f"SELECT session, seq, {s('t + 0.25', 3)} t FROM v_stream")
 def _(v):
-    def build(stream):
-        return stream.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0 + 0.25).alias("t"))
-
-    return run_stream(v, build, "events").withColumn("t", snap(F.col("t"), 3))
+    rows = v.stream.select("session", "seq", "t")
+    stream = sensor.imu_stream(v.spark, landed(v, rows, "imu", 3), "session INT, seq BIGINT, t DOUBLE", 0.25)
+    return drained(v, sensor.drop_late(stream.withColumn("ts", F.timestamp_seconds("t")), "ts", "400 days")).select("session", "seq", snap(F.col("t"), 3).alias("t"))
 
 
 @query("st_sliding", """WITH rk AS (SELECT session, scan_id, row_number() OVER (PARTITION BY session ORDER BY scan_id) rn FROM v_poses)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scanloom.operators.ordered import block_of, neighbour
+from scanloom.operators.ordered import block_of, neighbour, running_sum
 from scanloom.schemas import SCAN_MESSAGES
 from scanloom.sources.packets import message_points
 
@@ -33,16 +33,15 @@ def drop_late(df: DataFrame, ts: str, bound: str) -> DataFrame:
     return df.withWatermark(ts, bound)
 
 
-def restart_sessions(df: DataFrame, keys: list[str], order: str, t: str, block) -> DataFrame:
-    """Number of clock resets before each row: time going backwards starts a new run.
+def restart_sessions(df: DataFrame, keys: list[str], order: str, t: str, block, drop: float = 0.0) -> DataFrame:
+    """Number of clock resets up to each row: time going back by more than ``drop`` starts a new run.
 
-    Resets are rare rows, so they are counted with a join on the reset positions.
+    Resets are flagged block by block and summed up with the blocks' offsets, so neither a long
+    session nor many resets meet in one row or task.
     """
     marked = neighbour(df, keys, order, block, [t])
-    resets = marked.filter(F.col(t) < F.col(f"prev.{t}")).select(*keys, F.col(order).alias("_at"))
-    numbered = resets.groupBy(*keys).agg(F.sort_array(F.collect_list("_at")).alias("_resets"))
-    df = df.join(numbered, keys, "left")
-    return df.withColumn("run", F.coalesce(F.size(F.filter("_resets", lambda a: a <= F.col(order))), F.lit(0))).drop("_resets")
+    flag = F.coalesce((F.col(t) < F.col(f"prev.{t}") - drop).cast("int"), F.lit(0))
+    return running_sum(marked.withColumn("_reset", flag).drop("prev"), keys, order, block, "_reset", "run").withColumn("run", F.col("run").cast("int")).drop("_reset")
 
 
 def align(df: DataFrame, ts: str, period: str, keys: list[str]) -> DataFrame:
@@ -101,10 +100,10 @@ def track_stream(boxes: DataFrame, params) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker(params)
-        for pdf in batches:
-            rows = []
-            for t, frame in pdf.sort_values(["t", "cluster"]).groupby("t", sort=True):
-                rows += tracker.step(float(t), frame)
+        # the rows of a trigger come in chunks that are cut anywhere: frames are stepped over all of them
+        pdf = pd.concat(list(batches)).sort_values(["t", "cluster"])
+        for t, frame in pdf.groupby("t", sort=True):
+            rows = tracker.step(float(t), frame)
             if rows:
                 out = pd.DataFrame(rows, columns=["t", "track", "status", "x", "y", "z", "vx", "vy", "vz"])
                 out.insert(0, "session", key[0])
