@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from scanloom.operators import evaluate, scanlines
+from scanloom.operators import evaluate, scanlines, windows
 from scanloom.params import LineFeatureParams, TrackParams
 from scanloom.sources import poses, scans, sinks
 from scanloom.streaming import sensor, tracks
