@@ -35,9 +35,9 @@ def scan_pose(points: DataFrame, poses: DataFrame) -> DataFrame:
     return points.join(poses, SCAN)
 
 
-def _posed(df: DataFrame) -> tuple[DataFrame, list[Column], list[Column], list[Column]]:
-    df = g.with_rotation(df)
-    return df, g.cols(g.ROT), g.cols(g.TRANS), g.cols(XYZ)
+def _posed(points: DataFrame, poses: DataFrame) -> tuple[DataFrame, list[Column], list[Column], list[Column]]:
+    """Points with their scan's rotation, which is worked out once per pose."""
+    return scan_pose(points, g.with_rotation(poses)), g.cols(g.ROT), g.cols(g.TRANS), g.cols(XYZ)
 
 
 def replace_xyz(df: DataFrame, p: Sequence[Column], drop: Sequence[str] = ()) -> DataFrame:
@@ -45,12 +45,12 @@ def replace_xyz(df: DataFrame, p: Sequence[Column], drop: Sequence[str] = ()) ->
 
 
 def to_world(points: DataFrame, poses: DataFrame) -> DataFrame:
-    df, r, t, p = _posed(scan_pose(points, poses))
+    df, r, t, p = _posed(points, poses)
     return replace_xyz(df, g.rigid(r, t, p), [*g.ROT, *g.TRANS, *g.QUAT])
 
 
 def to_body(points: DataFrame, poses: DataFrame) -> DataFrame:
-    df, r, t, p = _posed(scan_pose(points, poses))
+    df, r, t, p = _posed(points, poses)
     return replace_xyz(df, g.rigid_inverse(r, t, p), [*g.ROT, *g.TRANS, *g.QUAT])
 
 

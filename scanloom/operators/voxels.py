@@ -12,6 +12,7 @@ from scanloom.functions.linalg import COV, with_eigen
 from scanloom.functions.voxel import KEYS, voxel_key, voxel_keys
 from scanloom.operators.cells import dist2
 from scanloom.params import PlaneParams
+from scanloom.session import cut
 
 SCAN = ("session", "scan_id")
 MOMENTS = ("n", "sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz")
@@ -108,35 +109,33 @@ def plane_tree(
 ) -> DataFrame:
     """Coarsest planar cells of an octree with ``layers`` splits below the root voxel.
 
-    Moments are summed once at the finest level and rolled up level by level. A point on a
-    split plane belongs to the lower half. A cell below a planar one is not looked at.
+    Moments are summed once at the finest level; every fine cell then counts for its ancestor of
+    each layer in one more sum. Planar cells are cut once, and those with a planar ancestor are
+    taken out by one join, so the source is read once for any number of layers. A point on a
+    split plane belongs to the lower half.
     """
     scale = 1 << layers
     roots = {k: voxel_key(F.col(a), size) for k, a in zip(KEYS, "xyz")}
-    df = points.withColumns(roots)
     fine = {
         "f" + a: F.greatest(F.lit(0), F.ceil((F.col(a) / size - F.col(k)) * scale) - 1).cast("bigint")
         for k, a in zip(KEYS, "xyz")
     }
     leaf = ["fx", "fy", "fz"]
-    level = df.withColumns(fine).groupBy(*keys, *KEYS, *leaf).agg(*moment_aggs())
-    by_level = {layers: level}
-    for depth in range(layers - 1, -1, -1):
-        level = level.withColumns({f: F.shiftright(F.col(f), 1) for f in leaf}).groupBy(*keys, *KEYS, *leaf).agg(*merge_aggs())
-        by_level[depth] = level
-    out, covered = None, None
-    for depth in range(layers + 1):
-        cells = by_level[depth].filter(F.col("n") > min_points)
-        if covered is not None:
-            for above, planes in covered:
-                up = {f"_a{f}": F.shiftright(F.col(f), depth - above) for f in leaf}
-                taken = planes.select(*keys, *KEYS, *[F.col(f).alias("_a" + f) for f in leaf])
-                cells = cells.withColumns(up).join(taken, [*keys, *KEYS, *up], "left_anti").drop(*up)
-        planes = with_plane(cells).filter((F.col("l1") < max_min_eigen) & (F.col("l2") > min_mid_eigen))
-        planes = planes.withColumn("layer", F.lit(depth))
-        covered = [*(covered or []), (depth, planes)]
-        out = planes if out is None else out.unionByName(planes)
-    return out
+
+    def lifted(df: DataFrame, upper: str, levels: str) -> DataFrame:
+        """Each cell once per layer in ``upper`` above it, with the ancestor's cell numbers."""
+        df = df.withColumn("layer", F.explode(upper))
+        return df.withColumns({f: F.expr(f"shiftright({f}, {levels} - layer)") for f in leaf})
+
+    finest = points.withColumns(roots).withColumns(fine).groupBy(*keys, *KEYS, *leaf).agg(*moment_aggs())
+    layer = F.sequence(F.lit(0), F.lit(layers))
+    cells = lifted(finest.withColumn("_up", layer), "_up", str(layers)).groupBy(*keys, *KEYS, "layer", *leaf).agg(*merge_aggs())
+    fitted = with_plane(cells.filter(F.col("n") > min_points)).filter((F.col("l1") < max_min_eigen) & (F.col("l2") > min_mid_eigen))
+    planes = cut(fitted)
+    ident = [*keys, *KEYS, "layer", *leaf]
+    below = planes.filter(F.col("layer") > 0).select(*ident).withColumns({"_own": F.struct("layer", *leaf), "_layer": F.col("layer"), "_up": F.sequence(F.lit(0), F.col("layer") - 1)})
+    covered = lifted(below, "_up", "_layer").join(planes.select(*ident), ident, "left_semi").select(*keys, *KEYS, "_own.*").distinct()
+    return planes.join(covered, ident, "left_anti")
 
 
 def plane_covariance(points: DataFrame, p: PlaneParams, range_noise: float, degree_noise: float, keys: Sequence[str] = SCAN) -> DataFrame:
