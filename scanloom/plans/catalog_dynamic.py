@@ -203,13 +203,14 @@ def graph(v):
     other = pose.filter(F.col("session") == 0).select("scan_id", *[F.col(c).alias("b" + c) for c in pg.POSE])
     loop = pose.filter(F.col("session") > 0).join(other, "scan_id")
     r, t = g.between(g.cols(g.ROT, "b"), g.cols(g.TRANS, "b"), g.cols(g.ROT), g.cols(g.TRANS))
-    loop = loop.select((F.col("scan_id") * 3).cast("bigint").alias("src"), (F.col("scan_id") * 3 + F.col("session")).cast("bigint").alias("dst"), *[c.alias(n) for n, c in zip(pg.POSE, (*r, *t))])
-    p = PoseGraphParams()
-    flag = [F.lit(p.loop_variance).alias("variance"), F.lit(True).alias("robust")]
-    return odo.select("src", "dst", *pg.POSE, F.lit(0.01).alias("variance"), F.lit(False).alias("robust")).unionByName(loop.select("*", *flag)), pose
+    # one sub-frame a key frame: frame k is node k + 1
+    loop = loop.select((F.col("scan_id") * 3 - 1).cast("bigint").alias("db_keyframe"), (F.col("scan_id") * 3 + F.col("session") - 1).cast("bigint").alias("keyframe"), *[c.alias(n) for n, c in zip(pg.POSE, (*r, *t))])
+    return pg.pose_edges(odo, loop, 1, PoseGraphParams(odometry_variance=0.01)), pose
 
 
-@query("gr_pose_edges")
+@query("gr_pose_edges", f"""WITH {POSE_ROT}, pp AS (SELECT *, scan_id * 3 + session node, lag(scan_id) OVER (PARTITION BY session ORDER BY scan_id) * 3 + session pn FROM pr),
+  ee AS (SELECT pn src, node dst, false robust FROM pp WHERE pn IS NOT NULL UNION ALL SELECT scan_id * 3, node, true FROM pp WHERE session > 0 AND scan_id IN (SELECT scan_id FROM pr WHERE session = 0))
+  SELECT src::BIGINT src, dst::BIGINT dst, robust, {', '.join(s(f'a.r0{i} * (b.tx - a.tx) + a.r1{i} * (b.ty - a.ty) + a.r2{i} * (b.tz - a.tz)', 4) + f' t{c}' for i, c in enumerate('xyz'))} FROM ee JOIN pp a ON a.node = src JOIN pp b ON b.node = dst""")
 def _(v):
     edges, _pose = graph(v)
     return edges.select("src", "dst", "robust", *snapped(g.TRANS, 4))
@@ -219,8 +220,8 @@ def _(v):
 def _(v):
     edges, pose = graph(v)
     nodes = pose.select((F.col("scan_id") * 3 + F.col("session")).cast("bigint").alias("node"), *g.ROT, (F.col("tx") + F.col("session") * 0.05).alias("tx"), "ty", "tz", (F.col("scan_id") == 0).alias("anchor"))
-    out, _left = pg.pose_refine(nodes, edges, PoseGraphParams(), 1, 4)
-    return out.select("node", *snapped(g.TRANS, 3))
+    out, left = pg.pose_refine(nodes, edges, PoseGraphParams(), 1, 4)
+    return out.select("node", *snapped(g.TRANS, 3), F.lit(float(left)).alias("residual"))
 
 
 @query("gr_session_align")
