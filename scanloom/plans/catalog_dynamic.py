@@ -155,6 +155,18 @@ def _(v):
     return dy.depth_consistent(image, image.select(*dy.MAP, "scan_id", "point_idx"), DYN, WIDE).select("session", "map_id", "o_scan", "o_pid")
 
 
+_DIR = "atan2(y, x) az, atan2(z, sqrt(x * x + y * y)) el, sqrt(x * x + y * y + z * z) d"
+
+
+@query("dl_case2_clean", f"""WITH lb AS (SELECT session, scan_id, point_idx, (1 + point_idx % 3)::INT kind FROM v_eval WHERE pred >= 251),
+  pt AS MATERIALIZED (SELECT session, scan_id, point_idx, {_DIR} FROM v_points), st AS (SELECT * FROM pt ANTI JOIN lb USING (session, scan_id, point_idx)), mv AS (SELECT pt.* FROM pt JOIN lb USING (session, scan_id, point_idx) WHERE kind = 2)
+  SELECT {sq.POINT}, kind FROM lb WHERE NOT EXISTS (SELECT 1 FROM mv JOIN st ON st.session = mv.session AND st.scan_id = mv.scan_id WHERE mv.session = lb.session AND mv.scan_id = lb.scan_id AND mv.point_idx = lb.point_idx
+    AND mv.d > st.d + {2 * WIDE.occ_depth} AND abs(mv.az - st.az) < {WIDE.occ_hor} AND abs(mv.el - st.el) < {WIDE.occ_ver})""")
+def _(v):
+    labels = v.evaluation.filter("pred >= 251").select(*P, (1 + F.col("point_idx") % 3).cast("int").alias("kind"))
+    return dy.case2_clean(v.points, labels, DYN, WIDE)
+
+
 @query("gr_dynamic_label")
 def _(v):
     # Images three seconds old keep the chain of labels that depend on labels short.
