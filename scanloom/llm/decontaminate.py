@@ -18,7 +18,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +69,7 @@ class GramSet:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, tb.Texts]]:
-    yield from tb.slices(tb.texts_of(pc.utf8_lower(batch.column("text"))))
+    yield from tb.lowered(batch.column("text"))
 
 
 def items_of(benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +59,7 @@ def _letters(texts: tb.Texts, bits: int) -> tuple[tb.Words, np.ndarray, np.ndarr
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, tb.Texts]]:
-    yield from tb.slices(tb.texts_of(pc.utf8_lower(batch.column("text"))))
+    yield from tb.lowered(batch.column("text"))
 
 
 @dataclass(frozen=True)
@@ -106,17 +105,22 @@ def mixture(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: in
     ``like`` holds the likelihoods of the words, those of document d from ``first[d]`` on; every
     document has a word.
     """
-    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(like))))
-    size = np.diff(np.append(first, len(like)))[:, None]
+    size = np.diff(np.append(first, len(like)))
+    own = np.repeat(np.arange(len(first)), size)
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    docs, rows, at, words = np.arange(len(first)), like, own, first
     for _ in range(rounds):
-        part = like * share[own]
+        now = share[docs]
+        part = rows * now[at]
         part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        new = np.add.reduceat(part, first, axis=0) / size
-        done = np.abs(new - share).max() < 1e-4
-        share = new
-        if done:
+        new = np.add.reduceat(part, words, axis=0) / size[docs, None]
+        share[docs] = new
+        moving = np.abs(new - now).max(axis=1) >= 1e-4
+        if not moving.any():
             break
+        if moving.mean() < 0.7:  # settled documents leave the loop
+            rows, docs = rows[moving[at]], docs[moving]
+            at, words = np.repeat(np.arange(len(docs)), size[docs]), np.cumsum(size[docs]) - size[docs]
     total = np.log(np.maximum((like * share[own]).sum(axis=1), 1e-300))
     return share, np.add.reduceat(total, first)
 

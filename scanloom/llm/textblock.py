@@ -10,8 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: Word breaks `[\x20\x09-\x0D]`.
 BLANK = np.zeros(256, bool)
@@ -73,6 +74,13 @@ def slices(texts: Texts, limit: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]
         first = last
 
 
+def lowered(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, Texts]]:
+    """(first index, texts) of bounded slices in lower case; only ``rows`` texts are copied at once."""
+    for first in range(0, len(column), rows):
+        for i, texts in slices(texts_of(pc.utf8_lower(column.slice(first, rows)))):
+            yield first + i, texts
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offsets

@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +48,7 @@ _BREAKS[ord("a") : ord("z") + 1] = False
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, tb.Texts]]:
-    yield from tb.slices(tb.texts_of(pc.utf8_lower(batch.column("text"))))
+    yield from tb.lowered(batch.column("text"))
 
 
 def _units(texts: tb.Texts, words: tb.Words, prefixes: tuple[int, ...]) -> np.ndarray:
