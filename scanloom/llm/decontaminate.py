@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
 
-The test items are read in blocks of a bounded size. For a block, one pass over the documents
-counts how many of them hold each n-gram of an item; the rarest half of an item's n-grams are its
-seeds. A second pass cuts the passages around seed hits out of the documents. Passages join the
-items through the seeds, and each pair is aligned word by word.
+The test items are read in blocks of a bounded size. Every n-gram of an item is a seed, so a pair
+does not depend on what the rest of the corpus holds. One pass cuts the passages around seed hits
+out of the documents. Passages join the items through the seeds, and each pair is aligned word by
+word unless too few of the item's words are in the passage for the least score.
 
 Defined results: null and empty texts match nothing; items with fewer words than an n-gram cannot
 be told from chance and match nothing; repeated rows of a document are one document; an empty
@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm import textblock as tb
@@ -28,7 +28,6 @@ from scanloom.session import cut
 @dataclass(frozen=True)
 class DecontaminationParams:
     ngram: int = 3
-    seed_share: float = 0.5  # rarest share of an item's n-grams that are seeds
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -93,23 +92,6 @@ def items_of(benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
     return found.mapInArrow(run, "item_id bigint, words array<bigint>, grams array<bigint>").filter(F.size("grams") > 0)
 
 
-def gram_frequency(docs: DataFrame, grams: DataFrame, params: DecontaminationParams) -> DataFrame:
-    """(gram, df): in how many documents each n-gram of a block of items occurs."""
-    spark = docs.sparkSession
-    members = spark.sparkContext.broadcast(GramSet(np.array([r.gram for r in grams.collect()], np.int64).view(np.uint64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _texts(batch):
-                words, _, found, at = _hashed(texts, params.ngram)
-                hit = members.value.find(found)
-                pair = np.unique(np.stack([found[hit], words.text[at[hit]].astype(np.uint64)]), axis=1)
-                value, count = np.unique(pair[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], ["gram", "df"])
-
-    return docs.select("text").mapInArrow(run, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
 def passages_of(docs: DataFrame, seeds: DataFrame, reach: int, params: DecontaminationParams) -> DataFrame:
     """Passages of ``reach`` words around seed hits: doc_id, first word, word hashes, seeds."""
     spark = docs.sparkSession
@@ -179,7 +161,9 @@ def _aligned(batches: Iterator[pa.RecordBatch], params: DecontaminationParams) -
 
     for batch in batches:
         passages, items = lists(batch.column("passage")), lists(batch.column("words"))
-        order = sorted(range(len(passages)), key=lambda k: len(passages[k]))
+        # an alignment scores at most ``match`` for each word of the item that the passage holds
+        able = [k for k, (p, q) in enumerate(zip(passages, items, strict=True)) if np.isin(q, p).sum() / len(q) >= params.min_score]
+        order = sorted(able, key=lambda k: len(passages[k]))
         first = 0
         while first < len(order):
             last = first + 1
@@ -197,12 +181,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], params: DecontaminationParams) -
 
 
 def _block(docs: DataFrame, items: DataFrame, params: DecontaminationParams) -> DataFrame:
-    grams = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
+    seeds = cut(items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram")))
     reach = items.agg(F.max(F.size("words"))).first()[0] or 0
-    counted = grams.join(gram_frequency(docs, grams.select("gram").distinct(), params), "gram", "left")
-    ranked = counted.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram")))
-    sized = ranked.withColumn("all", F.count("*").over(Window.partitionBy("item_id")))
-    seeds = cut(sized.filter((F.col("place") == 1) | (F.col("place") <= params.seed_share * F.col("all"))).select("item_id", "gram"))
     passages = cut(passages_of(docs, seeds, reach, params)).withColumn("pid", F.monotonically_increasing_id())
     pairs = passages.select("pid", F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds, "gram").select("pid", "item_id").distinct()
     full = pairs.join(passages.select("pid", "doc_id", "start", "passage"), "pid").join(items.select("item_id", "words"), "item_id")

@@ -115,3 +115,14 @@ def test_copies_of_items_are_found(spark):
     assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {d for d, _, _ in docs} - {d for d, _ in want}
     assert decontaminate.contaminated(df, bench.filter("false")).count() == 0
     assert decontaminate.contaminated(df.filter("false"), bench).count() == 0
+
+
+def test_only_copy_with_every_fourth_word_replaced(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(38))) for k in range(12)]
+    edit = lambda text: " ".join(word() if i % 4 == 3 else w for i, w in enumerate(text.split()))
+    docs = [(k, " ".join([*(word() for _ in range(60)), edit(text), *(word() for _ in range(60))])) for k, text in items]
+    docs += [(50, " ".join(word() for _ in range(80)) + " " + items[3][1])]  # an unedited copy changes nothing for the edited one
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k, _ in items} | {(50, 3)}
