@@ -72,4 +72,32 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in ("e
 FROM d LEFT JOIN per_doc USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_pii": OP8, "op9_line_dedup": OP9}
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS o FROM d GROUP BY 1),
+f AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+    len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, o < d.doc_id AS e
+  FROM d JOIN first USING (t) LEFT JOIN labels ON d.doc_id = labels.doc_id),
+m AS (SELECT part, good, toxic, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS failed FROM f),
+letters AS (SELECT unnest(string_split('ABCDE', '')) AS x, unnest(range(5)) AS k),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, 1 << (ascii(filter_order[s]) - 65) AS me,
+    coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::BIGINT AS before
+  FROM orders, range(1, 6) t(s)),
+cells AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY 1, 2),
+one AS (SELECT part, filter_order, step, me,
+    sum(CASE WHEN failed & (before | me) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN failed & before = 0 AND failed & me > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed & before > 0 AND failed & me > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = me THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failed & before = 0 AND failed & me > 0 THEN g ELSE 0 END) AS good_lost,
+    sum(CASE WHEN failed & before = 0 AND failed & me > 0 THEN x ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, me))::BIGINT AS shapley
+FROM one
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_pii": OP8, "op9_line_dedup": OP9, "op11_filter_audit": OP11}
