@@ -100,4 +100,22 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM one
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_pii": OP8, "op9_line_dedup": OP9, "op11_filter_audit": OP11}
+_CUT_AT = r"[.,;:!?\n\x0b\x0c\r]"
+OP12 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '{_CUT_AT}')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(w) >= k)),
+total AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+inner_ AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, f FROM (SELECT lang, w, f, k, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) t(m) WHERE m < k)),
+absorbed AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY 1, 2),
+kept AS (SELECT c.lang, c.k, c.phrase, c.f AS a, c.w FROM c LEFT JOIN absorbed x ON c.lang = x.lang AND c.phrase = x.phrase WHERE c.k >= 2 AND (x.f IS NULL OR 100 * x.f < 100 * c.f)),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS h, array_to_string(w[j + 1:k], ' ') AS t FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+s AS (SELECT u.lang, u.phrase, a, l.f AS l, r.f AS r, n, j, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts u JOIN c l ON u.lang = l.lang AND u.h = l.phrase JOIN c r ON u.lang = r.lang AND u.t = r.phrase JOIN total n ON u.lang = n.lang),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_pii": OP8, "op9_line_dedup": OP9, "op11_filter_audit": OP11, "op12_phrases": OP12}
