@@ -10,8 +10,8 @@ A prefix removes the same rows in whatever order its filters ran: 80 pairs of pr
 serve the 600 steps of five filters.
 
 Only ids, parts and labels are shuffled, and counts are combined before they are. Equal texts are
-found by their SHA-256; the smallest id of a text is a partial minimum, so a text that a third of
-all rows hold costs one row per task.
+found by their SHA-256; the smallest id of a text is a partial minimum, and the rows of a text meet
+it under ``_SALTS`` keys, so a text that a third of all rows hold is many tasks.
 
 Defined results: a null text is empty, a null part is the empty string, so both may merge with
 real ones. A null ``doc_id`` is smaller than none and larger than none: it neither is a copy nor
@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 from scanloom.session import cut
 
 
+_SALTS = 32  # shares of the rows of one text
+
+
 @dataclass(frozen=True)
 class FilterParams:
     min_words: int = 50
@@ -66,7 +69,8 @@ def failing_ids(rows: DataFrame) -> dict[str, DataFrame]:
     """One stored table of row ids for each of the filters A to E; ``rows`` as ``judged`` gives them."""
     first = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
     tables = {name.upper(): rows.filter(name).select("row") for name in "abcd"}
-    tables["E"] = rows.select("row", "doc_id", "key").join(first, "key").filter(F.col("doc_id") > F.col("least")).select("row")
+    first = first.withColumn("salt", F.explode(F.array(*[F.lit(s) for s in range(_SALTS)])))
+    tables["E"] = rows.select("row", "doc_id", "key", F.pmod("row", F.lit(_SALTS)).cast("int").alias("salt")).join(first, ["key", "salt"]).filter(F.col("doc_id") > F.col("least")).select("row")
     return {name: cut(ids) for name, ids in tables.items()}
 
 

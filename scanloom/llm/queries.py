@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, filter_audit, language_id, licences, line_dedup, packing, phrases, pii, quality_mil, quality_rules, simhash, toxicity
+from scanloom.llm import decontaminate, filter_audit, language_id, licences, line_dedup, packing, phrases, pii, quality_mil, quality_rules, secret_scan, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,11 @@ def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_scan.digest(docs, secret_scan.train(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_licences": op2_licences,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
     "op12_phrases": op12_phrases,
+    "op13_secrets": op13_secrets,
 }
