@@ -19,18 +19,26 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PRIME = (1 << 31) - 1
+_BASES = (1_414_213_562, 1_732_050_807)  # below the prime
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1."""
+    p = np.uint64(_PRIME)
+    for _ in range(2):
+        x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo the prime, by doubling."""
+    table = _powers.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        table = np.concatenate([table, _reduced(table * np.uint64(pow(base, len(table), _PRIME)))])
+    _powers[base] = table
+    return table
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -113,18 +121,27 @@ def words_of(texts: Texts, breaks: np.ndarray = BLANK) -> Words:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of data[start:end] for spans in ascending order: polynomials from prefix sums."""
+    """64-bit hashes of data[start:end] for spans in ascending order.
+
+    Two polynomials modulo the prime 2^31 - 1 from prefix sums, and the length. (A polynomial modulo
+    2^64 is the same for certain texts of two letters, whatever its base.)
+    """
     out = np.zeros(len(start), np.uint64)
     i = 0
     while i < len(start):
         base = start[i]
         j = max(i + 1, int(np.searchsorted(end, base + block, "right")))
         span = int(end[j - 1] - base)
-        power, inverse = _power_tables(span + 1)
-        total = np.zeros(span + 1, np.uint64)
-        np.cumsum((data[base : base + span].astype(np.uint64) + np.uint64(1)) * power[:span], out=total[1:])
         low, high = start[i:j] - base, end[i:j] - base
-        out[i:j] = (total[high] - total[low]) * inverse[low] + (high - low).astype(np.uint64) * _MULT
+        letters = data[base : base + span].astype(np.uint64) + np.uint64(1)
+        total = np.zeros(span + 1, np.uint64)
+        halves = []
+        for b in _BASES:
+            terms = letters * _power_table(b, span + 1)[:span]  # below 2^40
+            np.cumsum(terms if span <= 1 << 22 else _reduced(terms), out=total[1:])
+            sums = _reduced(total[high] - total[low])
+            halves.append(_reduced(sums * _power_table(pow(b, -1, _PRIME), span + 1)[low]))
+        out[i:j] = mix((halves[0] << np.uint64(32)) | halves[1]) + (high - low).astype(np.uint64) * _MULT
         i = j
     return mix(out)
 
