@@ -1,13 +1,23 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman scores them.
-
-The test items are read in blocks of a bounded size. Every n-gram of an item is a seed, so a pair
-does not depend on what the rest of the corpus holds. One pass cuts the passages around seed hits
-out of the documents. Passages join the items through the seeds, and each pair is aligned word by
-word unless too few of the item's words are in the passage for the least score.
-
-Defined results: null and empty texts match nothing; items with fewer words than an n-gram cannot
-be told from chance and match nothing; repeated rows of a document are one document; an empty
-table on either side gives no pairs.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+
+Seeds are three words in a row and two spaced patterns, (0, 1, 3) and (0, 2, 3), so that a copy with
+every third word replaced still has some. The test items are read in blocks of a bounded size. A
+first pass over the documents counts in how many of them each seed of the block occurs. An item
+then uses its rare seeds: those that few items share and that are not much more frequent in the
+documents than the item's others. Seeds that no document holds stay in this comparison, so an item
+that nobody copied does not fall back on phrases that everybody writes. Only an item with fewer
+than ``least_seeds`` rare ones, dead or alive, also uses its rarest common ones. A second pass cuts
+the passages around the hits of an item, of twice its length at most between two hits, and aligns
+them word by word unless too few of the item's words are there for the least score.
+
+Seeds, items and their words are broadcast, ``block_bytes`` of text at a time; documents are not
+shuffled, and a document meets an item only over a rare seed. Identical items are aligned once.
+
+Defined results: null and empty texts match nothing; items with fewer words than a seed cannot
+be told from chance and match nothing; repeated rows of a document, and rows without ``doc_id``,
+are one document in ``contaminated`` (with a null id) and rows of their own in ``clean``, which
+looks at texts alone; items without ``item_id`` are reported with a null id; an empty table on
+either side gives no pairs; ties of the score go to the earliest, then longest span.
 """
 
 from __future__ import annotations
@@ -27,12 +37,15 @@ from scanloom.session import cut
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    ngram: int = 3
     match: int = 2
     mismatch: int = -1
     gap: int = -1
     min_score: float = 0.4  # of the score of an unchanged copy
-    block_bytes: int = 16 << 20  # text of the items that are broadcast at once
+    rare_docs: int = 64  # documents that may hold a rare seed in any case
+    spread: int = 16  # times the lower quartile of the item's seeds, which a rare seed may reach
+    rare_items: int = 8  # items that may share a rare seed
+    least_seeds: int = 4
+    block_bytes: int = 8 << 20  # text of the items that are broadcast at once
 
 
 #: Words are runs of ASCII letters and digits and of all characters beyond ASCII.
@@ -41,13 +54,35 @@ _BREAKS[128:] = False
 _BREAKS[ord("0") : ord("9") + 1] = False
 _BREAKS[ord("a") : ord("z") + 1] = False
 _FILTER_BITS = 22
-
-
-def _hashed(texts: tb.Texts, n: int) -> tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray]:
+#: Places of a seed's words, from its first one on.
+PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def seeds_of(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, index of the first word) of all seeds that stay inside a text, by that index."""
+    grams, places = [], []
+    for k, offsets in enumerate(PATTERNS):
+        n = len(h) - offsets[-1]
+        if n <= 0:
+            continue
+        at = np.flatnonzero(text[:n] == text[offsets[-1] :])
+        total = np.full(len(at), k + 1, np.uint64)
+        for o in offsets:
+            total = total * _MULT + h[at + o]
+        grams.append(tb.mix(total))
+        places.append(at)
+    if not grams:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gram, place = np.concatenate(grams), np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return gram[order], place[order]
+
+
+def _hashed(texts: tb.Texts) -> tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray]:
     words = tb.words_of(texts, _BREAKS)
     h = tb.hash_spans(texts.data, words.start, words.end)
-    grams, at = tb.ngrams(h, words.text, n)
-    return words, h, grams, at
+    return words, h, *seeds_of(h, words.text)
 
 
 class GramSet:
@@ -58,71 +93,102 @@ class GramSet:
         self.table = np.zeros(1 << _FILTER_BITS, bool)
         self.table[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Positions of ``grams`` that are members."""
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``grams`` that are members, and their numbers."""
         maybe = np.flatnonzero(self.table[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(self.grams):
-            return maybe[:0]
+            return maybe[:0], maybe[:0]
         place = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
-        return maybe[self.grams[place] == grams[maybe]]
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, tb.Texts]]:
-    yield from tb.lowered(batch.column("text"))
-
-
-def items_of(benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
-    """(item_id, words, grams) of every item with an n-gram."""
+        hit = self.grams[place] == grams[maybe]
+        return maybe[hit], place[hit]
+
+
+@dataclass
+class Items:
+    """A block of different items: their words, and which seeds each of them has."""
+
+    words: list[np.ndarray]
+    members: GramSet
+    gram: np.ndarray  # of each (seed, item), by seed
+    item: np.ndarray
+
+    def chosen(self, docs: np.ndarray, params: DecontaminationParams) -> "Items":
+        """The items with the seeds they use; ``docs`` counts the documents of each seed."""
+        n_items = np.bincount(self.gram, minlength=len(self.members.grams))
+        order = np.lexsort((self.gram, docs[self.gram], n_items[self.gram], self.item))
+        gram, item = self.gram[order], self.item[order]
+        first = np.searchsorted(item, np.arange(len(self.words) + 1))
+        keep = np.zeros(len(gram), bool)
+        for k in range(len(self.words)):
+            own = gram[first[k] : first[k + 1]]
+            often = np.sort(docs[own])
+            limit = max(params.rare_docs, params.spread * int(often[len(own) // 4]))
+            rare = (n_items[own] <= params.rare_items) & (docs[own] <= limit)
+            if rare.sum() < params.least_seeds:
+                rare[np.flatnonzero(~rare)[: params.least_seeds - int(rare.sum())]] = True
+            keep[first[k] : first[k + 1]] = rare & (docs[own] > 0)
+        gram, item = gram[keep], item[keep]
+        order = np.argsort(gram, kind="stable")
+        used, gram = np.unique(gram[order], return_inverse=True)
+        return Items(self.words, GramSet(self.members.grams[used]), gram, item[order])
+
+
+def items_of(texts: pa.ChunkedArray) -> tuple[Items, np.ndarray]:
+    """The different items of a block, and the number of each text's item; -1 without a seed."""
+    which, words, grams, owners = np.full(len(texts), -1), [], [], []
+    seen: dict[bytes, int] = {}
+    for i, some in tb.lowered(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts):
+        found, h, gram, at = _hashed(some)
+        bounds = np.searchsorted(found.text[at], np.arange(len(some) + 1))
+        for d in range(len(some)):
+            if bounds[d + 1] == bounds[d]:
+                continue
+            own = h[found.first[d] : found.first[d + 1]]
+            number = seen.setdefault(own.tobytes(), len(words))
+            if number == len(words):
+                words.append(own)
+                grams.append(np.unique(gram[bounds[d] : bounds[d + 1]]))
+                owners.append(np.full(len(grams[-1]), number))
+            which[i + d] = number
+    flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+    members = GramSet(flat)
+    gram = np.searchsorted(members.grams, flat)
+    order = np.argsort(gram, kind="stable")
+    return Items(words, members, gram[order], (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]), which
+
+
+def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
+    """Documents that hold each seed of the block."""
+    shared = docs.sparkSession.sparkContext.broadcast(items.members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, texts in _texts(batch):
-                words, h, grams, at = _hashed(texts, params.ngram)
-                bounds = np.searchsorted(words.text[at], np.arange(len(texts) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("item_id").slice(i, len(texts)),
-                        pa.ListArray.from_arrays(pa.array(words.first.astype(np.int32)), pa.array(h.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(grams.view(np.int64))),
-                    ],
-                    ["item_id", "words", "grams"],
-                )
-
-    found = benchmark.select(F.col("item_id").cast("bigint"), "text").filter(F.col("item_id").isNotNull())
-    return found.mapInArrow(run, "item_id bigint, words array<bigint>, grams array<bigint>").filter(F.size("grams") > 0)
-
-
-def passages_of(docs: DataFrame, seeds: DataFrame, reach: int, params: DecontaminationParams) -> DataFrame:
-    """Passages of ``reach`` words around seed hits: doc_id, first word, word hashes, seeds."""
-    spark = docs.sparkSession
-    members = spark.sparkContext.broadcast(GramSet(np.array([r.gram for r in seeds.select("gram").distinct().collect()], np.int64).view(np.uint64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, texts in _texts(batch):
-                words, h, found, at = _hashed(texts, params.ngram)
-                hit = members.value.find(found)
-                if not len(hit):
-                    continue
-                at, found = at[hit], found[hit]
-                text = words.text[at]
-                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (np.diff(at) > 2 * reach)]))
-                last = np.append(new[1:], len(at)) - 1
-                low = np.maximum(at[new] - reach, words.first[text[new]])
-                high = np.minimum(at[last] + params.ngram + reach, words.first[text[new] + 1])
-                size = high - low
-                inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array(text[new] + i)), pa.array(low - words.first[text[new]]),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(h[inside].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(found.view(np.int64))),
-                    ],
-                    ["doc_id", "start", "passage", "seeds"],
-                )
-
-    slim = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return slim.mapInArrow(run, "doc_id bigint, start bigint, passage array<bigint>, seeds array<bigint>")
+            for _, texts in tb.lowered(batch.column("text")):
+                words, _, grams, at = _hashed(texts)
+                hit, number = shared.value.find(grams)
+                pair = np.unique(number * np.int64(len(texts)) + words.text[at[hit]])
+                value, n = np.unique(pair // max(1, len(texts)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n.astype(np.int64))], ["seed", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(items.members.grams), np.int64)
+    out[np.asarray(counts.column("seed"))] = np.asarray(counts.column("n"))
+    return out
+
+
+def _passages(items: Items, text: np.ndarray, at: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, low, high) of the passages around the hits of each item; words low to high."""
+    start = np.searchsorted(items.gram, number)
+    size = np.searchsorted(items.gram, number, "right") - start
+    item = items.item[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+    text, at = np.repeat(text, size), np.repeat(at, size)
+    order = np.lexsort((at, item, text))
+    text, item, at = text[order], item[order], at[order]
+    reach = np.array([len(w) for w in items.words], np.int64)[item] if len(item) else at
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > 2 * reach[1:])])) if len(at) else at
+    last = np.append(new[1:], len(at)) - 1 if len(at) else at
+    span = PATTERNS[-1][-1] + 1
+    return text[new], item[new], np.maximum(at[new] - reach[new], first[text[new]]), np.minimum(at[last] + span + reach[new], first[text[new] + 1])
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray], params: DecontaminationParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,38 +221,39 @@ def align(passages: list[np.ndarray], items: list[np.ndarray], params: Decontami
     return best // unit, unit - 1 - best % unit, end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], params: DecontaminationParams) -> Iterator[pa.RecordBatch]:
-    def lists(column: pa.Array) -> list[np.ndarray]:
-        return [np.asarray(x.values) for x in column]
-
-    for batch in batches:
-        passages, items = lists(batch.column("passage")), lists(batch.column("words"))
-        # an alignment scores at most ``match`` for each word of the item that the passage holds
-        able = [k for k, (p, q) in enumerate(zip(passages, items, strict=True)) if np.isin(q, p).sum() / len(q) >= params.min_score]
-        order = sorted(able, key=lambda k: len(passages[k]))
-        first = 0
-        while first < len(order):
-            last = first + 1
-            while last < len(order) and (last + 1 - first) * len(passages[order[last]]) <= 1 << 18:
-                last += 1
-            take = order[first:last]
-            score, start, end = align([passages[k] for k in take], [items[k] for k in take], params)
-            full = np.array([params.match * len(items[k]) for k in take], float)
-            at = np.asarray(batch.column("start"))[take]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(take)), batch.column("item_id").take(pa.array(take)), pa.array(score / full), pa.array(at + start), pa.array(at + end)],
-                ["doc_id", "item_id", "score", "start_word", "end_word"],
-            )
-            first = last
-
-
-def _block(docs: DataFrame, items: DataFrame, params: DecontaminationParams) -> DataFrame:
-    seeds = cut(items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram")))
-    reach = items.agg(F.max(F.size("words"))).first()[0] or 0
-    passages = cut(passages_of(docs, seeds, reach, params)).withColumn("pid", F.monotonically_increasing_id())
-    pairs = passages.select("pid", F.explode(F.array_distinct("seeds")).alias("gram")).join(seeds, "gram").select("pid", "item_id").distinct()
-    full = pairs.join(passages.select("pid", "doc_id", "start", "passage"), "pid").join(items.select("item_id", "words"), "item_id")
-    return full.mapInArrow(lambda b: _aligned(b, params), "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+def matches(texts: tb.Texts, items: Items, params: DecontaminationParams) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, item, score, first, end word) of the alignments that reach the least score."""
+    words, h, grams, at = _hashed(texts)
+    hit, number = items.members.find(grams)
+    text, item, low, high = _passages(items, words.text[at[hit]], at[hit], number, words.first)
+    # an alignment scores at most ``match`` for each word of the item that the passage holds
+    able = [k for k in range(len(text)) if np.isin(items.words[item[k]], h[low[k] : high[k]]).sum() >= params.min_score * len(items.words[item[k]])]
+    able.sort(key=lambda k: high[k] - low[k])
+    first = 0
+    while first < len(able):
+        last = first + 1
+        while last < len(able) and (last + 1 - first) * (high[able[last]] - low[able[last]]) <= 1 << 18:
+            last += 1
+        take = np.array(able[first:last])
+        own = [items.words[i] for i in item[take]]
+        score, start, end = align([h[a:b] for a, b in zip(low[take], high[take], strict=True)], own, params)
+        share = score / np.array([params.match * len(w) for w in own], float)
+        good = share >= params.min_score
+        place = low[take] - words.first[text[take]]
+        yield text[take][good], item[take][good], share[good], (place + start)[good], (place + end)[good]
+        first = last
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> Iterator[tuple[Items, pa.Table, np.ndarray]]:
+    """(items with their seeds, rows (item_id, text), number of each row's item) of every block."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // params.block_bytes))
+    rows = cut(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+    for b in range(blocks):
+        block = rows.filter(F.col("block") == b).select("item_id", "text").toArrow()  # about ``block_bytes``
+        items, which = items_of(block.column("text"))
+        if len(items.words):
+            yield items.chosen(_frequencies(docs, items), params), block.column("item_id"), which
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
@@ -194,15 +261,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: DecontaminationP
 
     The span counts the document's words; the best alignment of each pair is given.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // params.block_bytes))
-    items = cut(items_of(benchmark, params).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))))
-    found = reduce(DataFrame.unionByName, [_block(docs, items.filter(F.col("block") == b).drop("block"), params) for b in range(blocks)])
-    best = found.filter(F.col("score") >= params.min_score).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("before"), "end_word")).alias("m"))
+    spark = docs.sparkSession
+    slim, found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), []
+    for items, ids, which in _blocks(slim, benchmark, params):
+        known = which >= 0
+        order = np.argsort(which[known], kind="stable")
+        held = spark.sparkContext.broadcast((items, which[known][order], ids.combine_chunks().filter(pa.array(known)).take(pa.array(order))))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            items, numbers, ids = held.value
+            for batch in batches:
+                for i, texts in tb.lowered(batch.column("text")):
+                    for text, item, score, start, end in matches(texts, items, params):
+                        first = np.searchsorted(numbers, item)
+                        size = np.searchsorted(numbers, item, "right") - first
+                        copy = np.repeat(np.arange(len(item)), size)  # once for each id of the item
+                        row = np.arange(len(copy)) - np.repeat(np.cumsum(size) - size, size) + first[copy]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("doc_id").take(pa.array(text[copy] + i)), ids.take(pa.array(row)), pa.array(score[copy]), pa.array(start[copy]), pa.array(end[copy])],
+                            ["doc_id", "item_id", "score", "start_word", "end_word"],
+                        )
+
+        found.append(slim.mapInArrow(run, "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"))
+    if not found:
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint")
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("before"), "end_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.score", (-F.col("m.before")).alias("start_word"), "m.end_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams()) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    hit = contaminated(docs, benchmark, params).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    out = docs
+    for items, *_ in _blocks(docs, benchmark, params):
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for i, texts in tb.lowered(batch.column("text")):
+                    for text, *_ in matches(texts, held.value, params):
+                        keep[text + i] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -4,10 +4,12 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from scanloom.llm import decontaminate, simhash
+from scanloom.llm import textblock as tb
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -126,3 +128,66 @@ def test_only_copy_with_every_fourth_word_replaced(spark):
     docs += [(50, " ".join(word() for _ in range(80)) + " " + items[3][1])]  # an unedited copy changes nothing for the edited one
     found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k, _ in items} | {(50, 3)}
+
+
+def plain_best(text, item):
+    words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    p, q = words(text), words(item)
+    return plain_alignment(p, q) / (2 * len(q))
+
+
+def test_recall_against_the_alignment_of_all_pairs(spark):
+    """Copies with a tenth, a fifth, a third of their words replaced, at random or every third."""
+    rng = random.Random(21)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdefghij") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(rng.randint(12, 40)))) for k in range(40)]
+    docs = []
+    for d in range(160):
+        body = [word() for _ in range(rng.randint(20, 90))]
+        copy = items[d % 40][1].split()
+        share = (0.1, 0.2, 0.33, 0)[d // 40]
+        copy = [word() if (rng.random() < share if share else i % 3 == 2) else w for i, w in enumerate(copy)]
+        if rng.random() < 0.3:
+            del copy[rng.randrange(len(copy))]
+        body[20:20] = copy
+        docs.append((d, " ".join(body)))
+    want = {(d, k) for d, t in docs for k, q in items if plain_best(t, q) >= 0.4}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    for part in range(4):  # each kind of edit on its own
+        own = {(d, k) for d, k in want if d // 40 == part}
+        assert len(own) > 25 and len(own & got) >= 0.9 * len(own)
+
+
+def test_a_stem_that_all_items_share_joins_nothing(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    stem = "which of the following is the best answer to this question"
+    for n in (100, 200):
+        items = [(k, f"{stem} " + " ".join(word() for _ in range(20))) for k in range(n)]
+        docs = [(d, " ".join([*(word() for _ in range(30)), stem, *(word() for _ in range(30))])) for d in range(n)] + [(n, " ".join(word() for _ in range(9)) + " " + items[3][1])]
+        block, _ = decontaminate.items_of(pa.chunked_array([pa.array([t for _, t in items])]))
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        chosen = block.chosen(decontaminate._frequencies(df, block), decontaminate.DecontaminationParams())
+        texts = next(tb.lowered(pa.array([t for _, t in docs])))[1]
+        words, _, grams, at = decontaminate._hashed(texts)
+        hit, number = chosen.members.find(grams)
+        assert len(decontaminate._passages(chosen, words.text[at[hit]], at[hit], number, words.first)[0]) == 1
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(n, 3)}
+
+
+def test_null_ids_same_items_and_long_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = " ".join(word() for _ in range(25))
+    long = " ".join(word() for _ in range(60_000)) + " " + item + " " + "x " * 50_000
+    docs = [(1, item, 0), (None, item, 0), (None, "nothing here", 0), (2, long, 0), (3, item + " " + item, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(7, item), (8, item.upper()), (None, item), (9, " ".join(word() for _ in range(25)))], "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in (1, None, 2, 3) for i in (7, 8, None)}
+    assert {(r.start_word, r.end_word) for r in got if r.doc_id == 2} == {(60_000, 60_025)} and {r.score for r in got} == {1.0}
+    assert {(r.start_word, r.end_word) for r in got if r.doc_id == 3} == {(0, 25)}
+    left = decontaminate.clean(df, bench).collect()
+    assert [(r.doc_id, r.text, r.item_id) for r in left] == [(None, "nothing here", 0)]
