@@ -3,11 +3,14 @@
 One pass over the texts (NumPy over Arrow batches) gives the counts and, per document, the hashes
 of its normalised lines. Lines held by more than ``max_docs`` different documents of a host are
 boilerplate; a document whose other lines hold less than ``min_left`` percent of its words is
-depleted and rejected. Texts never pass a shuffle: only (host, hash, document) rows do, and the
-counts are combined before they are shuffled.
+depleted and rejected. In the report texts never pass a shuffle: only (host, hash, document) rows
+do, and the counts are combined before they are shuffled. ``clean_documents`` measures once and
+joins its verdicts to the texts.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its
-own; rows that repeat a ``doc_id`` are one document of the host and keep one result row each.
+own; rows that repeat a ``doc_id`` are one document of the host and keep one result row each, as do
+rows without ``doc_id``, which all are one document of their host. Verdicts are per row: of rows
+with the same id, only those that pass are kept.
 """
 
 from __future__ import annotations
@@ -100,26 +103,26 @@ def measure(texts: tb.Texts) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
     return counts, lines.text[first[order]], key[first[order]], held[order]
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, texts in tb.slices(tb.texts_of(batch.column("text"))):
             counts, text, key, held = measure(texts)
             bounds = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(i, len(texts)), batch.column("host").slice(i, len(texts)),
+                    *[batch.column(c).slice(i, len(texts)) for c in ("doc_id", "host", *carry)],
                     *[pa.array(counts[c].astype(np.int64)) for c in _COUNTS],
                     pa.ListArray.from_arrays(bounds, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(held)),
                 ],
-                ["doc_id", "host", *_COUNTS, "line_hash", "line_words"],
+                ["doc_id", "host", *carry, *_COUNTS, "line_hash", "line_words"],
             )
 
 
-def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts and line hashes of every document."""
-    slim = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
-    kinds = ", ".join(f"{c} bigint" for c in _COUNTS)
-    return slim.mapInArrow(_measured, f"doc_id bigint, host string, {kinds}, line_hash array<bigint>, line_words array<bigint>")
+def measured(docs: DataFrame, host: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and line hashes of every document, with the text columns ``carry``."""
+    slim = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), *carry, "text")
+    more, kinds = "".join(f", {c} string" for c in carry), ", ".join(f"{c} bigint" for c in _COUNTS)
+    return slim.mapInArrow(lambda batches: _measured(batches, carry), f"doc_id bigint, host string{more}, {kinds}, line_hash array<bigint>, line_words array<bigint>")
 
 
 def frequent_lines(lines: DataFrame, params: QualityParams) -> DataFrame:
@@ -128,26 +131,37 @@ def frequent_lines(lines: DataFrame, params: QualityParams) -> DataFrame:
     return held.groupBy("host", "line_hash").count().filter(F.col("count") > params.max_docs).select("host", "line_hash")
 
 
-def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), host: str = "source") -> DataFrame:
-    """doc_id, the base counts, ``base_failed``, ``shared_words`` and ``kept`` of every row."""
-    rows = cut(measured(docs, host)).withColumn("row", F.monotonically_increasing_id())
+def _judged(rows: DataFrame, params: QualityParams) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``base_failed``, ``shared_words`` and ``kept``; and the (row, line_hash) of shared lines."""
     lines = rows.select("row", "doc_id", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row", "doc_id", "host", "l.line_hash", "l.line_words")
-    shared = (
-        lines.select("row", "host", "line_hash", "line_words").join(frequent_lines(lines, params), ["host", "line_hash"])
-        .groupBy("row").agg(F.sum("line_words").alias("shared_words"))
-    )
+    held = lines.select("row", "host", "line_hash", "line_words").join(frequent_lines(lines, params), ["host", "line_hash"])
+    shared = held.groupBy("row").agg(F.sum("line_words").alias("shared_words"))
     out = rows.drop("line_hash", "line_words").join(shared, "row", "left").withColumn("shared_words", F.coalesce("shared_words", F.lit(0)))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("shared_words")) >= params.min_left * F.col("n_words")
-    return out.select("doc_id", *_COUNTS, failed.alias("base_failed"), "shared_words", (~failed & left).alias("kept"))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & left), held.select("row", "line_hash")
+
+
+def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), host: str = "source") -> DataFrame:
+    """doc_id, the base counts, ``base_failed``, ``shared_words`` and ``kept`` of every row."""
+    rows = cut(measured(docs, host)).withColumn("row", F.monotonically_increasing_id())
+    return _judged(rows, params)[0].select("doc_id", *_COUNTS, "base_failed", "shared_words", "kept")
 
 
 def clean_documents(docs: DataFrame, params: QualityParams = QualityParams(), host: str = "source") -> DataFrame:
-    """Kept documents without the lines that their host repeats; all columns of ``docs``."""
-    lines = measured(docs, host).select("doc_id", "host", F.explode("line_hash").alias("line_hash"))
-    shared = lines.join(frequent_lines(lines, params), ["host", "line_hash"]).groupBy("doc_id").agg(F.collect_set("line_hash").alias("__shared"))
-    kept = quality_rules(docs, params, host).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").join(shared.withColumnRenamed("doc_id", "__doc"), F.col("doc_id") == F.col("__doc"), "left")
+    """Kept documents without the lines that their host repeats; all columns of ``docs``.
+
+    Rows are told apart by id, host and digest of the text; rows equal in these have one verdict.
+    """
+    named = lambda df: df.withColumn("digest", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = cut(measured(named(docs.select("doc_id", host, "text")), host, ("digest",))).withColumn("row", F.monotonically_increasing_id())
+    judged, shared = _judged(rows, params)
+    gone = shared.groupBy("row").agg(F.collect_set("line_hash").alias("__shared"))  # lines of one document
+    key = {"doc_id": "__doc", "host": "__host", "digest": "__digest"}
+    kept = judged.filter("kept").join(gone, "row", "left").select(*[F.col(a).alias(b) for a, b in key.items()], "__shared").dropDuplicates(list(key.values()))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("__host")) & (text == F.col("__digest"))
+    joined = docs.join(kept, same)
     fields = docs.schema
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,13 @@ def test_quality_rules_equal_brute_force(spark):
     for d, t in clean.items():
         assert not any(plain_key(x) == plain_key(b) for x in t.split("\n") for b in boiler[:2])
     assert quality_rules.quality_rules(df.filter("false")).count() == 0
+
+
+def test_cleaning_judges_rows_not_ids(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    boiler = "the same line of this host"
+    rows = [(d, f"{boiler}\n{good} {d}", "h") for d in range(12)] + [(None, good, "h"), (None, "bad", "h"), (3, "bad", "h"), (3, good, None), (3, good, None)]
+    df = spark.createDataFrame([(*r, 1, "d") for r in rows], "doc_id long, text string, source string, row int, digest string").repartition(3)
+    got = Counter((r.doc_id, r.text, r.source) for r in quality_rules.clean_documents(df).collect())
+    assert got == Counter([(d, f"{good} {d}", "h") for d in range(12)] + [(None, good, "h"), (3, good, None), (3, good, None)])
+    assert quality_rules.clean_documents(df.filter("false")).count() == 0
