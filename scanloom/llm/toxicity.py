@@ -10,7 +10,8 @@ evidence of all significant segments is summed up and mapped to a probability, w
 the half of the sample that the units were not learnt from.
 
 Defined results: null and empty texts have no segment and the lowest score; without labels of both
-classes every score is 0; repeated rows are scored each.
+classes every score is 0; repeated rows are scored each; an empty table gives no rows. Of segments
+with the same score the first is the strongest; a segment that could be extended without gain is not.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ class ToxicityParams:
     prior: float = 0.03  # mass of the Dirichlet prior, as a share of all counts
     min_z: float = 2.5  # significance of a toxic unit
     min_odds: float = 1.5  # its least log-odds
-    max_units: int = 50_000  # size bound of the table that is broadcast, most significant first
     other: float = -0.4  # score of a word that is no toxic unit
     top: float = 8.0  # largest score of a word
     max_expected: float = 1.0  # chance segments per document below which a segment is significant
@@ -192,12 +192,13 @@ def learn(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityP
     sample = cut(training_docs(docs, labels, label, params.per_class))
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0
     counts = cut(_unit_counts(sample.filter(half), params))
-    best = log_odds(counts, params).filter((F.col("z") >= params.min_z) & (F.col("score") >= params.min_odds)).orderBy(F.desc("z"), "unit").limit(params.max_units).collect()
-    if not best:
+    # every significant unit of the bounded sample
+    best = log_odds(counts, params).filter((F.col("z") >= params.min_z) & (F.col("score") >= params.min_odds)).select("unit", "score").toArrow()
+    if not best.num_rows:
         return ToxicityModel()
-    units = np.array([r.unit for r in best], np.int64).view(np.uint64)
+    units = np.asarray(best.column("unit")).astype(np.int64).view(np.uint64)
     order = np.argsort(units)
-    model = ToxicityModel(units[order], np.minimum(np.array([r.score for r in best])[order], params.top))
+    model = ToxicityModel(units[order], np.minimum(np.asarray(best.column("score"))[order], params.top))
     model = ToxicityModel(model.units, model.scores, decay_rate(*_clean_scores(sample.filter(half), model, params)))
     rows = sample.filter(~half).select("doc_id", "text", "label", "weight")
     seen = evidence(rows, model, params, ("label", "weight")).select("evidence", "label", "weight").toPandas()
