@@ -3,11 +3,12 @@
 A document is a bag of passages. Every passage is encoded as a vector: figures of its characters,
 words and repetitions, and a hashed bag of its words. Gated attention weighs the passages, the
 document is the weighted sum of its vectors, and a logistic layer scores it. Encoder statistics,
-attention and score are learnt from document labels alone, on a bounded sample, by full-batch
-Adam on the driver; all documents are scored on the executors.
+attention and score are learnt from document labels alone, on all passages of a bounded sample of
+documents, by full-batch Adam on the driver; all documents are scored on the executors.
 
 Defined results: null and empty texts are one passage without words; without labels of both
-classes the score is the share of label 1 (0.5 without any label); repeated rows are scored each.
+classes the score is the share of label 1 (0.5 without any label); repeated rows are scored each;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from scanloom.llm.labelled import held_out, training_docs
 @dataclass(frozen=True)
 class MilParams:
     per_class: int = 2500  # labelled documents of a class that are learnt from
-    train_passages: int = 64  # passages of a training document, evenly spread
     passage_words: int = 64
     word_dims: int = 16  # of the hashed bag of words
     hidden: int = 12  # of the attention
@@ -174,10 +174,9 @@ def learn(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams(), l
         for batch in batches:
             for i, texts in tb.slices(tb.texts_of(batch.column("text"))):
                 x, owner = encode(texts, params)
+                bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
                 for d in range(len(texts)):
-                    own = x[owner == d]
-                    if len(own) > params.train_passages:
-                        own = own[np.linspace(0, len(own) - 1, params.train_passages).astype(int)]
+                    own = x[bounds[d] : bounds[d + 1]]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(i + d, 1), batch.column("label").slice(i + d, 1), batch.column("weight").slice(i + d, 1), pa.array([own.reshape(-1)])],
                         ["doc_id", "label", "weight", "x"],
