@@ -3,7 +3,9 @@
 Every kind has a pattern that proposes spans, a validator that confirms them, and words which,
 close before the span, raise its score. The patterns are written so that a scan is linear: runs
 are possessive, and a match can only begin at the start of a run or where the last one ended.
-Positions are code points: texts between matches and matches are summed up in turn.
+Positions are code points: running sums of the lengths of matches and of the texts between them,
+by doubling steps. The context of a span is read from the pieces before it, so that the work grows
+with the text and with n log n of its n matches.
 
 Base kinds (email, ip, card, phone) are reported whenever their validator agrees. The other kinds
 (iban with its mod-97 check, national_id) are reported from ``min_score`` on.
@@ -63,7 +65,7 @@ def mod97(code: Column) -> Column:
 def _ip(match: Column) -> Column:
     part = F.split(match, "\\.")
     # leading zeros do not count; what is then longer than three digits is above 255
-    ok = [F.length(F.ltrim(part[k], F.lit("0"))) <= 3 for k in range(4)] + [F.coalesce(F.substring(F.ltrim(part[k], F.lit("0")), 1, 3).cast("int"), F.lit(0)) <= 255 for k in range(4)]
+    ok = [F.length(F.ltrim(part[k], F.lit("0"))) <= 3 for k in range(4)] + [F.concat(F.lit("0"), F.substring(F.ltrim(part[k], F.lit("0")), 1, 3)).cast("int") <= 255 for k in range(4)]
     return reduce(lambda a, b: a & b, ok)
 
 
@@ -78,22 +80,47 @@ KINDS = (
 )
 BASE = ("email", "ip", "card", "phone")
 _EMPTY = "array<struct<start:int,kind:int,end:int,score:double>>"
+_STEPS = 30  # doubling steps: enough for 2^30 matches
+_PIECES = 10  # matches before a span that its context may reach over; the shortest has five characters
 
 
-def _spans(k: int, kind: Kind, text: Column, matches: Column, gaps: Column, params: PiiParams) -> Column:
-    """Valid spans of one kind, in order."""
-    first = F.struct(F.length(gaps[0]).alias("at"), F.array().cast(_EMPTY).alias("found"))
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of numbers: step k adds what stands 2^k places before."""
+    steps = F.array(*[F.lit(1 << k) for k in range(_STEPS)])
+    add = lambda acc, d: F.transform(acc, lambda x, i: x + F.coalesce(F.when(i >= d, F.get(acc, (i - d).cast("int"))), F.lit(0)))
+    return F.aggregate(steps, lengths, lambda acc, d: F.when(F.size(acc) > d, add(acc, d)).otherwise(acc))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start, end = acc["at"], acc["at"] + F.length(pair["m"])
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), start + 1 - params.context_chars), F.least(start, F.lit(params.context_chars))))
-        score = F.lit(kind.score) + F.when(before.rlike(kind.words), params.context_gain).otherwise(0.0)
-        span = F.struct(start.alias("start"), F.lit(k).alias("kind"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        keep = kind.valid(pair["m"]) if kind.name in BASE else kind.valid(pair["m"]) & (score >= params.min_score)
-        return F.struct((end + F.length(pair["g"])).alias("at"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    pairs = F.zip_with(matches, F.slice(gaps, 2, F.size(matches)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, first, step, lambda acc: acc["found"])).otherwise(F.array().cast(_EMPTY))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not once for each element that looks at it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _spans(k: int, kind: Kind, matches: Column, gaps: Column, params: PiiParams) -> Column:
+    """Valid spans of one kind, in order; ``gaps`` are the texts before, between and after the matches."""
+    n = params.context_chars
+
+    def context(pieces: Column) -> Column:
+        """The ``n`` characters before each match; a piece is the end of a gap, and the match after it."""
+
+        def before(piece: Column, i: Column) -> Column:
+            begin = F.greatest(i - _PIECES, F.lit(0))
+            return F.lower(F.substring(F.concat(F.array_join(F.transform(F.slice(pieces, begin + 1, i - begin), lambda p: F.concat(p["g"], p["m"])), ""), piece["g"]), -n, n))
+
+        return F.transform(pieces, before)
+
+    def span(row: Column) -> Column:
+        match, end = row["m"], row["e"]
+        score = F.lit(kind.score) + F.when(row["before"].rlike(kind.words), params.context_gain).otherwise(0.0)
+        keep = kind.valid(match) if kind.name in BASE else kind.valid(match) & (score >= params.min_score)
+        return F.when(keep, F.struct((end - F.length(match)).cast("int").alias("start"), F.lit(k).alias("kind"), end.cast("int").alias("end"), F.least(score, F.lit(1.0)).alias("score")))
+
+    heads = F.slice(gaps, 1, F.size(matches))
+    ends = _running(F.zip_with(heads, matches, lambda g, m: F.length(g) + F.length(m)))
+    pieces = F.zip_with(heads, matches, lambda g, m: F.struct(F.substring(g, -n, n).alias("g"), m.alias("m")))
+    rows = F.arrays_zip(matches.alias("m"), ends.alias("e"), _bound(pieces, context).alias("before"))
+    found = F.filter(F.transform(rows, lambda r: span(r)), lambda s: s.isNotNull())
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_EMPTY))
 
 
 def find_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
@@ -106,7 +133,7 @@ def find_pii(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     # the first step finds matches; texts are split only where there are some
     found = docs.withColumns({m: F.when(kind.gate(text), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")) for kind, (m, _) in zip(KINDS, names, strict=True)})
     split = found.withColumns({g: F.when(F.size(m) > 0, F.split(text, kind.pattern, -1)).otherwise(F.array().cast("array<string>")) for kind, (m, g) in zip(KINDS, names, strict=True)})
-    parts = [_spans(k, kind, text, F.col(m), F.col(g), params) for k, (kind, (m, g)) in enumerate(zip(KINDS, names, strict=True))]
+    parts = [_spans(k, kind, F.col(m), F.col(g), params) for k, (kind, (m, g)) in enumerate(zip(KINDS, names, strict=True))]
     return split.withColumn("pii", F.array_sort(F.concat(*parts))).drop(*[c for pair in names for c in pair])
 
 

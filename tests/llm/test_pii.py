@@ -50,5 +50,16 @@ def test_validated_kinds_context_and_masking(spark):
     assert scores[0] == [1.0] and scores[1] == [0.9] and scores[6] == [0.9]
 
 
+def test_many_matches_and_context_over_matches(spark):
+    """A context may reach over several matches; a text of many matches is no quadratic work."""
+    close = "ssn 1.2.3.4 5.6.7.8 1.2.3.4 123-45-6789 x 1.2.3.4.5.6.7.8 1.1.1.1 2.2.2.2 3.3.3.3 123-45-6789"
+    many = " ".join(f"m{i}@x.yz 10.0.0.{i % 300}" for i in range(30_000))
+    out = {r.doc_id: r for r in pii.digest(spark.createDataFrame([(1, close), (2, many)], "doc_id long, text string")).collect()}
+    found = [(m.start(), m.end()) for m in re.finditer("[0-9]{3}-[0-9]{2}-[0-9]{4}", close)]
+    want = [f"national_id:{s}:{e}" for s, e in found if "ssn" in close[max(0, s - 40) : s]]
+    assert [x for x in out[1].spans.split(",") if x.startswith("nat")] == want and len(want) == 1
+    assert (out[2].n_email, out[2].n_ip, out[2].n_card, out[2].n_phone, out[2].base_sha256) == plain(many)
+
+
 def test_empty_table(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
