@@ -6,8 +6,14 @@ of languages whose shares are found by expectation-maximisation over its words;
 take part is decided by penalised likelihood: a language more has to pay
 ``penalty * log(words)``. The answer is the language with the largest share.
 
+Any number of languages is possible; the model holds 2^``bucket_bits`` floats for each. The
+likelihoods of a slice's words are a matrix of at most ``cells`` numbers: slices are smaller where
+there are many languages, and the words of a longer text are read in blocks, whose part of the
+matrix is computed anew in every round.
+
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and when there is
-nothing to learn from; a null ``doc_id`` is never trained on; ties go to the first name.
+nothing to learn from; a null ``doc_id`` is never trained on; ties go to the first name; repeated
+rows are judged each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ class LanguageParams:
     rounds: int = 25  # of expectation-maximisation
     penalty: float = 3.0
     least_share: float = 0.02  # a language below this share is no candidate for the set
-    max_languages: int = 200  # size bound of the table that is broadcast
+    cells: int = 1 << 22  # of a matrix of words and languages
     modulus: int = 4
     rest: int = 2
     keep_share: float = 0.5  # of its main language, below which a document is rejected
@@ -82,8 +88,12 @@ def learn(docs: DataFrame, params: LanguageParams = LanguageParams(), lang: str
                 for tag in set(tags[i : i + len(texts)]):
                     of = (tags[i : i + len(texts)] == tag)[own]
                     total[tag] = total.get(tag, 0) + np.bincount(bucket[of], minlength=slots)
-                if len(total) > params.max_languages:
-                    raise ValueError(f"more than {params.max_languages} languages")
+                if len(total) > 64:  # what was counted goes out, so that memory does not grow with the languages
+                    yield from flush(total)
+                    total = {}
+        yield from flush(total)
+
+    def flush(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for tag, counts in total.items():
             full = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([tag] * len(full), pa.string()), pa.array(full), pa.array(counts[full].astype(np.int64))], ["lang", "bucket", "n"])
@@ -91,12 +101,12 @@ def learn(docs: DataFrame, params: LanguageParams = LanguageParams(), lang: str
     train = docs.filter((crc_class("doc_id", params.modulus) != params.rest) & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text")
     counts = train.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts.column("lang").to_pylist()))
-    if len(names) > params.max_languages:
-        raise ValueError(f"more than {params.max_languages} languages")
     table = np.full((len(names), slots), params.smoothing)
     place = {name: k for k, name in enumerate(names)}
     np.add.at(table, (np.array([place[x] for x in counts.column("lang").to_pylist()], np.int64), counts.column("bucket").to_numpy()), counts.column("n").to_numpy())
-    return LanguageModel(tuple(names), np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
+    for row in table:  # in place: the table may be large
+        row[:] = np.log(row / row.sum())
+    return LanguageModel(tuple(names), table.astype(np.float32))
 
 
 def mixture(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,16 +168,68 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def _likelihoods(model: LanguageModel, bucket: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Words x languages, relative to the best language of each word."""
+    like = np.stack([np.add.reduceat(row[bucket], begin) for row in model.logp], axis=1).astype(np.float64)
+    return np.exp(like - like.max(axis=1, keepdims=True))
+
+
+def infer_long(model: LanguageModel, bucket: np.ndarray, begin: np.ndarray, params: LanguageParams) -> tuple[np.ndarray, int]:
+    """``infer`` for one document whose matrix would have more than ``cells`` numbers: its words in blocks."""
+    kinds, n = len(model.names), len(begin)
+    step = max(1, params.cells // kinds)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for i in range(0, n, step):
+            first, last = begin[i], begin[i + step] if i + step < n else len(bucket)
+            yield _likelihoods(model, bucket[first:last], begin[i : i + step] - first)
+
+    def settle(share: np.ndarray) -> tuple[np.ndarray, float]:
+        for _ in range(params.rounds):
+            new = np.zeros(kinds)
+            for like in blocks():
+                part = like * share
+                new += (part / np.maximum(part.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
+            new /= n
+            moved = np.abs(new - share).max()
+            share = new
+            if moved < 1e-4:
+                break
+        return share, sum(float(np.log(np.maximum(like @ share, 1e-300)).sum()) for like in blocks())
+
+    full, _ = settle(np.full(kinds, 1 / kinds))
+    rank = np.argsort(-full, kind="stable")
+    best, score, count = None, -np.inf, 0
+    for k in range(1, max(1, int((full >= params.least_share).sum())) + 1):
+        allowed = np.zeros(kinds)
+        allowed[rank[:k]] = 1 / k
+        share, total = settle(allowed)
+        total -= params.penalty * (k - 1) * np.log(n + 1)
+        if total > score:
+            best, score, count = share, total, k
+    return best, count
+
+
 def predict_texts(texts: tb.Texts, model: LanguageModel, params: LanguageParams) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, share and number of languages of lower-cased texts."""
     names, score, kinds = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     words, bucket, begin = _letters(texts, params.bucket_bits)
     if not len(begin) or not model.names:
         return names, score, kinds
-    like = np.stack([np.add.reduceat(row[bucket], begin) for row in model.logp], axis=1).astype(np.float64)
-    like = np.exp(like - like.max(axis=1, keepdims=True))
     full = np.flatnonzero(np.diff(words.first))
-    shares, count = infer(like, words.first[full], params)
+    shares, count = np.zeros((len(full), len(model.names))), np.zeros(len(full), np.int64)
+    limit, i = max(1, params.cells // len(model.names)), 0
+    while i < len(full):  # documents together while their words fit
+        first = words.first[full[i]]
+        j = max(i + 1, int(np.searchsorted(words.first[full + 1], first + limit, "right")))
+        last = words.first[full[j - 1] + 1]
+        letters = bucket[begin[first] : begin[last] if last < len(begin) else len(bucket)]
+        own = begin[first:last] - begin[first]
+        if last - first > limit:
+            shares[i], count[i] = infer_long(model, letters, own, params)
+        else:
+            shares[i:j], count[i:j] = infer(_likelihoods(model, letters, own), words.first[full[i:j]] - first, params)
+        i = j
     ascii_letters = np.zeros(len(texts.data) + 1, np.int64)
     np.cumsum(~_BREAKS[texts.data] & (texts.data < 128), out=ascii_letters[1:])
     plain = np.diff(ascii_letters[texts.offsets]) > 0

@@ -58,6 +58,69 @@ def test_mixture_shares():
     assert count.tolist() == [1, 1] and (shares[:, 0] == 1).all()
 
 
+def plain_language(text, model, params):
+    """EM for one document over every set of the most likely languages, word by word."""
+    words = ["".join(w) for w in "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text).split()]
+    if not words or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    like = []
+    for w in words:
+        raw = b" " + w.encode() + b" "
+        code = [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 0x9E3779B1) % (1 << 32)) >> (32 - params.bucket_bits) for i in range(len(raw) - 2)]
+        z = np.array([sum(float(row[c]) for c in code) for row in model.logp])
+        like.append(np.exp(z - z.max()))
+
+    def settle(share):
+        for _ in range(params.rounds):
+            new = np.zeros(len(share))
+            for x in like:
+                new += x * share / max(1e-300, (x * share).sum())
+            new /= len(like)
+            moved, share = np.abs(new - share).max(), new
+            if moved < 1e-4:
+                break
+        return share, sum(np.log(max(1e-300, x @ share)) for x in like)
+
+    full, _ = settle(np.full(len(model.names), 1 / len(model.names)))
+    rank = sorted(range(len(full)), key=lambda k: -full[k])
+    best = (-np.inf, None)
+    for k in range(1, max(1, sum(full >= params.least_share)) + 1):
+        allowed = np.zeros(len(full))
+        allowed[rank[:k]] = 1 / k
+        share, total = settle(allowed)
+        best = max(best, (total - params.penalty * (k - 1) * np.log(len(words) + 1), k, share), key=lambda b: b[0])
+    return model.names[int(best[2].argmax())], min(1.0, best[2].max())
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 60])
+def test_language_equals_plain_expectation_maximisation(spark, cells):
+    rng = random.Random(3)
+    parts = {"en": "th er on an re ing ou", "fr": "é eau eux oi qu ç ai", "de": "sch ung ö ü keit ei tz"}
+    prose = lambda tag, n: " ".join("".join(rng.choice(parts[tag].split()) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    train = [(d, prose(t, 60), t) for d in range(90) for t in parts]
+    params = language_id.LanguageParams(bucket_bits=10, cells=cells)
+    model = language_id.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"), params)
+    texts = [None, "", "12", "日本", prose("en", 1), *[f"{prose(a, rng.randint(1, 25))} {prose(b, rng.randint(0, 25))}" for a in parts for b in parts for _ in range(3)], prose("fr", 40) + "\n" + prose("de", 30) + prose("en", 20)]
+    out = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, params).collect()
+    for r in out:
+        name, share = plain_language((texts[r.doc_id] or "").lower(), model, params)
+        assert r.lang_pred == name and abs(r.score - share) < 2e-3
+
+
+def test_many_languages(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tags = {f"l{k:03d}": rng.sample(letters, 6) for k in range(230)}
+    prose = lambda tag, n: " ".join("".join(rng.choice(tags[tag]) for _ in range(6)) for _ in range(n))
+    rows = [(d * 1000 + k, prose(t, 50), t) for d in range(3) for k, t in enumerate(tags)] + [(900_000, prose("l007", 3000), "l007")]
+    params = language_id.LanguageParams(bucket_bits=10, cells=1 << 16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.predict(docs, language_id.learn(docs, params), params).collect()
+    truth = {d: t for d, _, t in rows}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.95
+    assert language_id.predict(docs.filter("false"), language_id.learn(docs, params), params).count() == 0
+
+
 @needs_tables
 def test_quality(spark):
     docs, labels = docs_and_labels(spark)
@@ -79,6 +142,32 @@ def test_attention_gradient():
     assert np.mean((model.score(x, owner) > 0.5) == y) > 0.95
 
 
+def test_scores_equal_a_walk_over_the_bags():
+    rng = np.random.default_rng(5)
+    texts = tb.texts_of(pa.array(["", None, "one two three", "word " * 1000, "A b! 12 " * 300, "é日 x"]))
+    params = quality_mil.MilParams(passage_words=20)
+    x, owner = quality_mil.encode(texts, params)
+    model = quality_mil.fit(x, owner, np.array([0, 1, 1, 0, 1, 0]), np.ones(6), quality_mil.MilParams(steps=20))
+    w = model.weights
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    for d, got in enumerate(model.score(x, owner)):
+        bag = [np.clip((row - model.mean) / model.scale, -8, 8) for row in x[owner == d]]
+        gate = [float((np.tanh(v @ w["v"] + w["vb"]) * sig(v @ w["u"] + w["ub"])) @ w["a"]) for v in bag]
+        share = np.exp(np.array(gate) - max(gate))
+        share /= share.sum()
+        assert abs(sig(sum(a * v for a, v in zip(share, bag)) @ w["c"] + w["b"][0]) - got) < 1e-9
+    assert len(x) > rng.integers(1, 60) and np.bincount(owner).tolist()[3] == 50  # every passage, however many
+
+
+def test_scores_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_mil.score(docs, quality_mil.learn(docs, labels)).count() == 0
+    assert toxicity.score(docs, toxicity.learn(docs, labels)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000, 0)], docs.schema)
+    assert toxicity.score(long, toxicity.learn(docs, labels)).collect()[0].predicted == 0
+
+
 def plain_segments(scores):
     """All maximal segments by repeatedly taking the best one and splitting around it."""
     out = []
