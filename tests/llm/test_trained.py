@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -245,6 +246,97 @@ def test_licences(spark):
     assert got == want | {None: "gpl:0", 7002: "cc-by-nc:0"}
 
 
+# Published licence texts in their usual line breaks.
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *
+ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "apache": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "gpl": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+}
+
+
+def test_wrapped_licences(spark):
+    rng = random.Random(3)
+    prose = lambda n: "\n".join(" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(9)) for _ in range(n))
+    names = list(WRAPPED)
+    rows = [(d, f"{prose(3)}\n\n{WRAPPED[names[d]]}\n\n{prose(20)}") for d in range(len(names))] + [(100 + d, prose(25)) for d in range(60)]
+    rows += [(200, "\n".join(prose(1) for _ in range(8000)) + "\n" + WRAPPED["bsd"] + "\n" + "x" * 100_000)]
+    out = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, name in enumerate(names):
+        families = {x.split(":")[0] for x in out[d].licences.split(",")}
+        assert name in families and families <= {name, "unknown"}, out[d].licences
+    assert out[200].n_licences >= 1 and {x.split(":")[0] for x in out[200].licences.split(",")} <= {"bsd", "unknown"}
+    assert not any(out[100 + d].licences for d in range(60))
+
+
+def test_corpus_of_licence_lines(spark):
+    """Words that every line of the corpus holds stay informative."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6)).title()
+    rows = [(d, f"Copyright {1990 + d % 30} {name()} {name()}, all rights reserved, licensed under the MIT license.") for d in range(1500)]
+    out = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_licences >= 1 for r in out) == 1500
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licence_scores_equal_a_plain_scorer(spark):
+    rng = random.Random(6)
+    notices = [t for texts in licences.NOTICES.values() for t in texts]
+    prose = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet work file version copy public".split()) for _ in range(9))
+    thinned = lambda: " ".join(w for w in rng.choice(notices).split() if rng.random() < rng.choice([0.6, 1]))
+    texts = ["\n".join(rng.choice([prose, prose, thinned])() for _ in range(4)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licences.learn(docs)
+    weights = {r.feature: np.array(r.w) for r in model.weights.collect()}
+    templates = {}
+    for r in model.templates.collect():
+        templates.setdefault((r.template, r.family), set()).add(r.feature)
+    got = {(r.doc_id, r.pos): (r.family, r.probability) for r in licences.judged(licences.units_of(docs, licences.LicenceParams()), model).collect() if not r.wide}
+    for d, text in enumerate(texts):
+        for pos, line in enumerate(text.split("\n")):
+            w = [x for x in re.split("[^a-z0-9]+", line.lower()) if x]
+            grams = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+            hit = [g for g in grams if g in weights]
+            if not set(w) & set(licences.INFORMATIVE) or not hit:
+                assert (d, pos) not in got
+                continue
+            z = np.array(model.bias) + sum(weights[g] for g in hit)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            sure = {f: p[model.classes.index(f)] for (t, f), features in templates.items() if len(features & grams) >= 0.6 * len(features)}
+            if 1 - p[0] > model.threshold + 1e-9:
+                family, probability = got[d, pos]
+                assert abs(probability - (1 - p[0])) < 1e-9
+                assert family == "unknown" if not sure else abs(sure[family] - max(sure.values())) < 1e-9
+    assert len({f for f, _ in got.values()}) > 2
+
+
 def test_words_and_hashes():
     texts = tb.texts_of(pa.array(["a b", None, "", " x\ty ", "a b"]).slice(0, 5))
     words = tb.words_of(texts)
