@@ -177,25 +177,48 @@ def knn(
     return out
 
 
+#: Reaches, in pixels, of the tile sizes that probes of differing reach are dealt over.
+_REACHES = (2, 8, 32)
+
+
 def window_join(
     probe: DataFrame, ref: DataFrame, keys: Sequence[str], hor_reach: Column | int, ver_reach: Column | int,
-    how: str = "inner", condition: Column | None = None,
+    max_reach: int = 0, depth: tuple[str, Column, Column] | None = None,
 ) -> DataFrame:
-    """Probe × ref pixels within a window of pixels: probe has (hor, ver), ref (r_hor, r_ver).
-
-    The window is unrolled on the probe side, which turns the range join into an equi join.
+    """Probe x ref pixels within a window of pixels: probe has (hor, ver), ref (r_hor, r_ver).
+
+    An equi join on tiles with the range as a condition after it. A tile is as large as the window,
+    so a probe lies in at most two tiles of each axis, four in all, whatever its reach. Where
+    the reach is a column, at most ``max_reach``, probes go to one of a few tile sizes and refs to each.
+    ``depth`` names a column of ``ref`` and bounds of a probe: tiles whose refs all lie outside
+    the bounds are left out before refs are joined, and so are these refs.
+    The steps from the probe's pixel are in (_dh, _dv).
     """
-    def reach(v: Column | int) -> Column:
-        return v if isinstance(v, Column) else F.lit(v).cast("bigint")
-
-    dh = F.explode(F.sequence(-reach(hor_reach), reach(hor_reach)))
-    a = probe.withColumn("_dh", dh).withColumn("_dv", F.explode(F.sequence(-reach(ver_reach), reach(ver_reach))))
-    a = a.withColumns({"r_hor": F.col("hor") + F.col("_dh"), "r_ver": F.col("ver") + F.col("_dv")})
-    on = [*keys, "r_hor", "r_ver"]
-    if condition is None:
-        return a.join(ref, on, how)
-    cond = condition
-    r = ref.select(*[F.col(c).alias("_j" + c) if c in on else F.col(c) for c in ref.columns])
-    for c in on:
-        cond = (F.col(c) == F.col("_j" + c)) & cond
-    return a.join(r, cond, how).drop(*["_j" + c for c in on])
+    fixed = isinstance(hor_reach, int) and isinstance(ver_reach, int)
+    hor_reach, ver_reach = (v if isinstance(v, Column) else F.lit(v).cast("bigint") for v in (hor_reach, ver_reach))
+    df = probe.withColumns({"_hr": hor_reach, "_vr": ver_reach})
+    if fixed:
+        df = df.withColumns({"_tw": 2 * F.col("_hr") + 1, "_th": 2 * F.col("_vr") + 1})
+        right = ref.withColumns({"_tw": 2 * hor_reach + 1, "_th": 2 * ver_reach + 1})
+    else:
+        sizes = [2 * r + 1 for r in (*[r for r in _REACHES if r < max_reach], max_reach)]
+        need = 2 * F.greatest("_hr", "_vr") + 1
+        size = F.lit(sizes[-1])
+        for n in reversed(sizes[:-1]):
+            size = F.when(need <= n, n).otherwise(size)
+        df = df.withColumn("_tw", size.cast("bigint")).withColumn("_th", F.col("_tw"))
+        right = ref.withColumn("_tw", F.explode(F.array(*[F.lit(n).cast("bigint") for n in sizes]))).withColumn("_th", F.col("_tw"))
+    tile = lambda at, width: F.floor(at / F.col(width)).cast("bigint")
+    ends = lambda c, reach, width: F.explode(F.array_distinct(F.array(tile(F.col(c) - F.col(reach), width), tile(F.col(c) + F.col(reach), width))))
+    df = df.withColumn("_ti", ends("hor", "_hr", "_tw")).withColumn("_tj", ends("ver", "_vr", "_th"))
+    right = right.withColumns({"_ti": tile(F.col("r_hor"), "_tw"), "_tj": tile(F.col("r_ver"), "_th")})
+    on = [*keys, "_tw", "_th", "_ti", "_tj"]
+    inside = (F.abs(F.col("r_hor") - F.col("hor")) <= F.col("_hr")) & (F.abs(F.col("r_ver") - F.col("ver")) <= F.col("_vr"))
+    if depth is not None:
+        name, low, high = depth
+        df = df.withColumns({"_from": low, "_to": high})
+        spans = right.groupBy(*on).agg(F.min(name).alias("_min"), F.max(name).alias("_max"))
+        df = df.join(spans, on).filter((F.col("_max") >= F.col("_from")) & (F.col("_min") <= F.col("_to"))).drop("_min", "_max")
+        inside = inside & F.col(name).between(F.col("_from"), F.col("_to"))
+    out = df.join(right, on).filter(inside).withColumns({"_dh": F.col("r_hor") - F.col("hor"), "_dv": F.col("r_ver") - F.col("ver")})
+    return out.drop("_hr", "_vr", "_tw", "_th", "_ti", "_tj", "_from", "_to")

@@ -105,6 +105,7 @@ class DynamicParams:
     map_dur: float = 0.1
     max_maps: int = 7
     max_pixel_points: int = 50
+    max_window: int = 50  # pixels that the near test looks to each side at most
     blind: float = 0.3
     near_axis_box: bool = False
     ego_boxes: bool = True
