@@ -104,8 +104,8 @@ def _spans(k: int, kind: Kind, matches: Column, gaps: Column, params: PiiParams)
         """The ``n`` characters before each match; a piece is the end of a gap, and the match after it."""
 
         def before(piece: Column, i: Column) -> Column:
-            begin = F.greatest(i - _PIECES, F.lit(0))
-            return F.lower(F.substring(F.concat(F.array_join(F.transform(F.slice(pieces, begin + 1, i - begin), lambda p: F.concat(p["g"], p["m"])), ""), piece["g"]), -n, n))
+            earlier = [F.get(pieces, i - k)[part] for k in range(_PIECES, 0, -1) for part in ("g", "m")]
+            return F.lower(F.substring(F.concat_ws("", *earlier, piece["g"]), -n, n))
 
         return F.transform(pieces, before)
 
