@@ -57,14 +57,14 @@ def _(v):
     return read_back(v, "lines", poses.MATRIX, poses.read_kitti).select("session", "scan_id", *snapped(MATRIX))
 
 
-@query("src_pose_per_file", f"""WITH {POSE_ROT}, o AS (SELECT * FROM pr WHERE session = 0), f AS (SELECT * FROM o ORDER BY scan_id LIMIT 1)
-  SELECT o.scan_id, {', '.join(s(f'f.r0{i} * (o.tx - f.tx) + f.r1{i} * (o.ty - f.ty) + f.r2{i} * (o.tz - f.tz)', 5) + f' t{a}' for i, a in enumerate('xyz'))},
-  {', '.join(s(f'f.r0{i} * o.r0{j} + f.r1{i} * o.r1{j} + f.r2{i} * o.r2{j}', 5) + f' r{i}{j}' for i in range(3) for j in range(3))} FROM o, f""")
+@query("src_pose_per_file", f"""WITH {POSE_ROT}, f AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY session ORDER BY scan_id) = 1)
+  SELECT o.session, o.scan_id, {', '.join(s(f'f.r0{i} * (o.tx - f.tx) + f.r1{i} * (o.ty - f.ty) + f.r2{i} * (o.tz - f.tz)', 5) + f' t{a}' for i, a in enumerate('xyz'))},
+  {', '.join(s(f'f.r0{i} * o.r0{j} + f.r1{i} * o.r1{j} + f.r2{i} * o.r2{j}', 5) + f' r{i}{j}' for i in range(3) for j in range(3))} FROM pr o JOIN f USING (session)""")
 def _(v):
     path = scratch(v, "single")
-    one = lines_of(v, [*poses.MATRIX]).filter("session = 0").withColumn("value", F.concat("value", F.lit(" 0 0 0 1")))
-    one.select("scan_id", "value").write.partitionBy("scan_id").text(path)
-    return poses.read_pose_per_file(v.spark, path).select("scan_id", *snapped(MATRIX, 5))
+    one = lines_of(v, [*poses.MATRIX]).withColumn("value", F.concat("value", F.lit(" 0 0 0 1")))
+    one.select("session", "scan_id", "value").write.partitionBy("session", "scan_id").text(path)
+    return poses.read_pose_per_file(v.spark, path).select("session", "scan_id", *snapped(MATRIX, 5))
 
 
 LOOP = "frame_id, x, y, z, is_loop, match_id, overlap"

@@ -64,16 +64,20 @@ def read_kitti(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pose_per_file(spark: SparkSession, path: str, extrinsic: Sequence[float] | None = None) -> DataFrame:
-    """One 4x4 per file, made relative to the first file and post-multiplied by the lidar extrinsic (3x4)."""
+    """One 4x4 per file, made relative to the first file of its session and post-multiplied by the lidar extrinsic (3x4).
+
+    The session is the number of a folder ``session=<n>``; files outside such folders are session 0.
+    """
     df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
-    df = df.select(number_in(F.col("path"), "scan_id").alias("scan_id"), *_cols(MATRIX))
-    first = df.agg(F.min_by(F.struct(*MATRIX), "scan_id").alias("f"))
-    df = df.crossJoin(F.broadcast(first))  # exactly one row
+    session = F.coalesce(F.nullif(F.regexp_extract("path", r"/session=(\d+)/", 1), F.lit("")).cast("int"), F.lit(0))
+    df = df.select(session.alias("session"), number_in(F.col("path"), "scan_id").alias("scan_id"), *_cols(MATRIX))
+    first = df.groupBy("session").agg(F.min_by(F.struct(*MATRIX), "scan_id").alias("f"))
+    df = df.join(first, "session")
     r, t = g.between(g.cols(g.ROT, "f."), g.cols(g.TRANS, "f."), g.cols(g.ROT), g.cols(g.TRANS))
     if extrinsic is not None:
         e = dict(zip(MATRIX, [F.lit(float(x)) for x in extrinsic]))
         r, t = g.compose(r, t, [e[c] for c in g.ROT], [e[c] for c in g.TRANS])
-    return df.select("scan_id", *[c.alias(n) for c, n in zip((*r, *t), (*g.ROT, *g.TRANS))])
+    return df.select("session", "scan_id", *[c.alias(n) for c, n in zip((*r, *t), (*g.ROT, *g.TRANS))])
 
 
 def read_loop_truth(spark: SparkSession, path: str) -> DataFrame:
