@@ -1,18 +1,19 @@
 """Collocations: word sequences that stay together more often than their parts would by chance.
 
-Frequent phrases are mined by Toivonen's method. A sample of the documents, with a lowered
-threshold, proposes phrases. One pass over all documents then counts exactly the proposed phrases
-and their negative border: what is not proposed though its first and its last words, one fewer,
-both are. (The border is counted where it occurs; a border phrase that never occurs cannot be
-frequent.) If a phrase of the border proves frequent, its extensions were not counted yet; a further
-pass counts these alone, and so on until no border phrase is frequent. The result does not depend
-on the sample: it only decides how many passes there are.
-
-The proposals go to the tasks as a table of 2^``filter_bits`` bits, a size that no corpus changes.
-Two phrases that share a bit make the border larger, hence the pass dearer, and change no count.
-Inside a slice of text words and phrases are numbered exactly; from slice to slice they are told
-apart by their text, so no hash collision can merge two. Slices end at piece boundaries, which
-bounds the memory of a long text.
+Frequent phrases are mined by Toivonen's method. All words belong to the border of the shortest
+phrases, so words are counted first, in full. A sample of the documents, with a lowered threshold,
+proposes longer phrases of frequent words; it is mined in two steps, pairs, then sequences of
+frequent pairs. One pass over all documents counts the proposed phrases and their negative border: what is
+not proposed though its first and its last words, one fewer, both are. (The border is counted where
+it occurs; a border phrase that never occurs cannot be frequent.) If a phrase of the border proves
+frequent, its extensions were not counted yet: the next pass counts these, and the extensions of
+what it counts itself, which closes the set. The result does not depend on the sample, which only
+decides how much is counted.
+
+That pass shuffles 40-bit hashes with their counts. Phrases that share a hash can only seem more
+frequent than they are, so the last pass, which counts by text what seemed frequent, is exact. Proposals and frequent hashes go to the tasks as tables of 2^``filter_bits`` bits, a size
+that no corpus changes. Phrases that share a bit make a pass dearer and change no count. Slices of
+text end at piece boundaries, which bounds the memory of a long text.
 
 Defined results: a null text is empty, a null language is ``und``. Every row counts, repeated ones
 too. Ties of score and frequency go by the phrase in byte order. An empty table has no phrases.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanloom.llm import textblock as tb
-from scanloom.session import cut, rounds
+from scanloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,10 @@ class PhraseParams:
     min_count: int = 100
     absorb_percent: int = 100  # a longer candidate this frequent, in percent, replaces a phrase
     top: int = 2000  # per language
-    sample_share: int = 8  # the sample is one document of so many, by a hash of its id
+    sample_share: int = 16  # the sample is one document of so many, by a hash of its id
     slack: float = 0.5  # of the sample's proportional threshold
     filter_bits: int = 26
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 2 << 20
 
 
 _CUTS = np.zeros(256, bool)
@@ -51,7 +51,7 @@ _CUTS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BREAKS = _CUTS.copy()
 _BREAKS[[32, 9]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_COUNTS = "lang string, size int, phrase string, n bigint"
+_SHORT = np.uint64((1 << 40) - 1)  # bits of a hash that are shuffled
 
 
 def _has(table: np.ndarray | None, h: np.ndarray) -> np.ndarray:
@@ -80,132 +80,176 @@ def _cut_long(texts: tb.Texts, limit: int) -> tb.Texts:
     return tb.Texts(texts.data, np.unique(np.concatenate([texts.offsets, bounds[near[near < len(bounds)]]])))
 
 
-def count_slice(texts: tb.Texts, seed: np.uint64, new: np.ndarray | None, old: np.ndarray | None, counted: bool, longest: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """(words, phrases, counts) of the phrases that ``new`` admits and, if ``counted``, ``old`` did not.
-
-    A table admits a phrase if it admits and holds both the phrase without its last and the phrase
-    without its first word; it admits every single word.
+@dataclass(frozen=True)
+class Pass:
+    """What a pass over texts counts.
+
+    A phrase is counted if the phrase without its last word and the one without its first are both
+    admitted and held; single words are admitted. ``table`` holds what has its bit set. ``old`` is
+    the table of the pass before, if there was one: of what that pass counted only phrases in
+    ``wanted`` are counted again, and what it did not count is held wherever it is admitted. Phrases
+    of more than ``checked`` words are held as well.
     """
+
+    table: np.ndarray | None = None
+    old: np.ndarray | None = None
+    wanted: np.ndarray | None = None
+    shortest: int = 2
+    longest: int = 5
+    checked: int = 5
+
+
+def count_slice(texts: tb.Texts, seed: np.uint64, what: Pass, named: bool) -> Iterator[tuple[np.ndarray | pa.Array, np.ndarray]]:
+    """Hashes, or texts if ``named``, and counts of the phrases of a slice; by text, an empty one counts all words."""
     data = tb.lower_ascii()[texts.data]
     words = tb.words_of(tb.Texts(data, texts.offsets), _BREAKS)
     total = len(words.start)
     if total == 0:
         return
-    cuts = np.zeros(len(data) + 1, np.int64)
+    cuts = np.zeros(len(data) + 1, np.int32)
     np.cumsum(_CUTS[data], out=cuts[1:])
     joined = (words.text[1:] == words.text[:-1]) & (cuts[words.start[1:]] == cuts[words.end[:-1]])
     offsets = np.zeros(total + 1, np.int64)
     np.cumsum(words.end - words.start, out=offsets[1:])
-    body = data[~_BREAKS[data]]
-    named = pa.LargeStringArray.from_buffers(total, pa.py_buffer(offsets), pa.py_buffer(body)).dictionary_encode()
-    word, names = np.asarray(named.indices).astype(np.int64), named.dictionary
+    coded = pa.LargeStringArray.from_buffers(total, pa.py_buffer(offsets), pa.py_buffer(data[~_BREAKS[data]])).dictionary_encode()
+    word, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+    del data, words, cuts, offsets, coded
     place = np.frombuffer(names.buffers()[1], np.int64)[: len(names) + 1]
     word_hash = tb.mix(tb.hash_spans(np.frombuffer(names.buffers()[2], np.uint8), place[:-1], place[1:]))
 
-    here = np.ones(total, bool)  # where ``new`` admits the phrase that starts at a word
-    before = np.full(total, counted)  # where ``old`` did
+    second = what.wanted is not None
+    here = np.ones(total, bool)  # where a phrase that starts at a word is admitted
+    before = np.full(total, second)  # where the pass before counted it
     ids, h = word, _extend(np.full(len(names), seed), word_hash)
-    if not counted:
-        yield 0, pa.array([""], pa.large_string()), np.array([total])
-        yield 1, names, np.bincount(word, minlength=len(names))
-    for size in range(2, longest + 1):
-        good = here & _has(new, h)[ids]
-        both = good[:-1] & good[1:]
-        both &= joined if size == 2 else True
-        at = np.flatnonzero(both)
+    first, n, size = np.zeros(len(names), np.int64), np.bincount(word, minlength=len(names)), 1
+    first[word[::-1]] = np.arange(total)[::-1]
+    if what.shortest == 1:
+        yield pa.array([""], pa.large_string()), np.array([total])
+    while True:
+        fresh = ~before[first]
+        out = np.flatnonzero(fresh | _has(what.wanted, h)) if second else np.arange(len(first))
+        out = out if size >= what.shortest else out[:0]
+        if len(out) and named:
+            parts = [names.take(pa.array(word[first[out] + k])) for k in range(size)]
+            yield pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), n[out]
+        elif len(out):
+            yield h[out], n[out]
+        if size == what.longest:
+            return
+        held = _has(what.table, h)[ids] if size <= what.checked else np.ones(total, bool)
+        if second:
+            held |= ~before
+        good = here & held
+        at = np.flatnonzero(good[:-1] & good[1:] & (joined if size == 1 else True))
         if not len(at):
             return
-        known = before & _has(old, h)[ids]
+        known = before & _has(what.old, h)[ids] if second else before
         _, lead, which = np.unique(ids[at] * np.int64(len(h)) + ids[at + 1], return_index=True, return_inverse=True)
-        start = at[lead]
-        n = np.bincount(which, minlength=len(start))
-        fresh = ~(known[start] & known[start + 1])
-        if fresh.any():
-            parts = [names.take(pa.array(word[start[fresh] + k])) for k in range(size)]
-            yield size, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), n[fresh]
-        h = _extend(h[ids[start]], word_hash[word[start + size - 1]])
-        here, before = np.zeros(total, bool), np.zeros(total, bool)
+        first, n, size = at[lead], np.bincount(which, minlength=len(lead)), size + 1
+        h = _extend(h[ids[first]], word_hash[word[first + size - 1]])
+        counted = known[first] & known[first + 1]
+        here, before, ids = np.zeros(total, bool), np.zeros(total, bool), np.zeros(total, np.int64)
         here[at] = True
-        before[at] = ~fresh[which]
-        ids = np.zeros(total, np.int64)
-        ids[at] = which
+        before[at], ids[at] = counted[which], which
 
 
-def phrase_counts(docs: DataFrame, new: np.ndarray | None, old: np.ndarray | None, counted: bool, params: PhraseParams) -> DataFrame:
-    """(lang, size, phrase, n): exact counts over ``docs``; size 0 counts all words of the language."""
-    context = docs.sparkSession.sparkContext
-    tables = context.broadcast((new, old))
+def _merged(rows: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The same counts by phrase in fewer rows; about ``limit`` rows are held at once."""
+    held, n = [], 0
+    for batch in rows:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= limit:
+            held = _summed(held)
+            n = sum(b.num_rows for b in held)
+            if n > limit // 2:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from _summed(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = tables.value
+
+def _summed(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    table = pa.Table.from_batches(rows).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return table.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).to_batches(max_chunksize=100_000)
+
+
+def _counted(docs: DataFrame, what: Pass, named: bool, params: PhraseParams, schema: str, row, merge=iter) -> DataFrame:
+    """One row per counted phrase and slice, made by ``row(language, phrases, counts)`` and merged by ``merge``."""
+    shared = docs.sparkSession.sparkContext.broadcast(what)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 texts = tb.texts_of(batch.column("text").filter(pc.equal(langs, lang)))
                 for _, some in tb.slices(_cut_long(texts, params.slice_bytes), params.slice_bytes):
-                    for size, phrases, n in count_slice(some, _seed(lang), new, old, counted, params.max_words):
+                    for phrases, n in count_slice(some, _seed(lang), shared.value, named):
                         for i in range(0, len(n), 100_000):
-                            m = len(n[i : i + 100_000])
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lang], pa.string()).take(pa.array(np.zeros(m, np.int64))), pa.array(np.full(m, size, np.int32)), phrases.slice(i, m).cast(pa.string()), pa.array(n[i : i + m].astype(np.int64))],
-                                ["lang", "size", "phrase", "n"],
-                            )
+                            yield row(lang, phrases[i : i + 100_000], n[i : i + 100_000])
 
-    slim = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    return slim.mapInArrow(run, _COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(lambda batches: merge(rows(batches)), schema)
 
 
-def _hashes(batch: pa.RecordBatch) -> np.ndarray:
-    """The hashes that ``count_slice`` gives to phrases."""
-    out = np.zeros(batch.num_rows, np.uint64)
-    for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)):
-        raw = phrase.encode()
-        ends = np.flatnonzero(np.frombuffer(raw + b" ", np.uint8) == 32)
-        h = np.full(1, _seed(lang))
-        for word in tb.mix(tb.hash_spans(np.frombuffer(raw, np.uint8), np.append(0, ends[:-1] + 1), ends)):
-            h = _extend(h, word)
-        out[i] = h[0]
-    return out
+def hash_counts(docs: DataFrame, what: Pass, params: PhraseParams) -> DataFrame:
+    """(h, n): counts by the phrase's hash, in which the language is."""
+    row = lambda lang, h, n: pa.RecordBatch.from_arrays([pa.array((h & _SHORT).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    return _counted(docs, what, False, params, "h bigint, n bigint", row).groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
-    """Bits of all ``phrases``; at most 2^(bits - 6) rows come to the driver."""
+def phrase_counts(docs: DataFrame, what: Pass, params: PhraseParams) -> DataFrame:
+    """(lang, phrase, n): exact counts; the empty phrase counts all words of the language."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = _hashes(batch) & np.uint64((1 << bits) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["cell", "mask"])
+    def row(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        tag = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang], pa.string())).dictionary_decode()
+        return pa.RecordBatch.from_arrays([tag, phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "n"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "cell bigint, mask bigint").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[np.asarray(rows.column("cell"))] = np.asarray(rows.column("mask")).view(np.uint64)
-    return table
+    return _counted(docs, what, True, params, "lang string, phrase string, n bigint", row, _merged).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _outside(phrases: DataFrame, table: np.ndarray) -> DataFrame:
-    held = phrases.sparkSession.sparkContext.broadcast(table)
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """The hash ``h`` that ``count_slice`` gives to each (lang, phrase) of one word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~_has(held.value, _hashes(batch))))
+            langs = batch.column("lang").dictionary_encode()
+            seeds = np.array([_seed(lang) for lang in langs.dictionary.to_pylist()], np.uint64)
+            texts = tb.texts_of(batch.column("phrase"))
+            h = tb.mix(tb.hash_spans(texts.data, texts.offsets[:-1], texts.offsets[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(_extend(seeds[np.asarray(langs.indices)], h).view(np.int64))], ["h"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "h bigint")
 
-    return phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bits of all hashes ``h``; at most 2^(bits - 6) rows come to the driver."""
+    cell = F.shiftright(F.col("h").bitwiseAND((1 << bits) - 1), 6)
+    rows = hashes.groupBy(cell.alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[np.asarray(rows.column("cell"))] = np.asarray(rows.column("mask"))
+    return table.view(np.uint64)
 
 
 def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
     """(lang, size, phrase, n): every phrase that occurs ``min_count`` times, and all words at size 0."""
     least = max(1, int(params.min_count * params.slack / params.sample_share))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(params.sample_share)) == 0)
-    proposed = phrase_counts(sample, None, None, False, params).filter((F.col("n") >= least) & F.col("size").between(1, params.max_words - 1))
-    table, old, passes = bit_table(proposed, params.filter_bits), None, []
-    for _ in rounds(params.max_words + 1, "phrases"):
-        found = phrase_counts(docs, table, old, bool(passes), params).filter((F.col("n") >= params.min_count) | (F.col("size") == 0))
-        passes.append(cut(found))
-        failures = bit_table(_outside(passes[-1].filter(F.col("size").between(1, params.max_words - 1)), table), params.filter_bits)
-        if not failures.any():
-            break
-        table, old = table | failures, table
-    return reduce(DataFrame.unionByName, passes)
+
+    enough = (F.col("n") >= params.min_count) | (F.col("phrase") == "")
+    known = cut(phrase_counts(docs, Pass(shortest=1, longest=1), params).filter(enough))
+    words = bit_table(_word_hashes(known.filter(F.col("phrase") != "")), params.filter_bits)
+
+    def frequent(of: DataFrame, what: Pass, least: int) -> np.ndarray:
+        return bit_table(hash_counts(of, what, params).filter(F.col("n") >= least), params.filter_bits)
+
+    pairs = frequent(sample, Pass(words, longest=2), least)
+    proposed = words | frequent(sample, Pass(words | pairs, longest=params.max_words, checked=2), least)
+    found = frequent(docs, Pass(proposed, longest=params.max_words, checked=params.max_words), params.min_count)
+    # both parts of a frequent phrase are frequent: held in the table below, or counted only now, hence held
+    last = Pass(proposed | found, proposed, found, 2, params.max_words, params.max_words)
+    longer = cut(phrase_counts(docs, last, params).filter(enough))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return known.unionByName(longer).withColumn("size", size)
 
 
 def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
@@ -213,7 +257,7 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> Data
 
     A phrase is cut in two where the score, 1000 * a * n / (l * r) rounded down, is least.
     """
-    counts = cut(frequent_phrases(docs, params))
+    counts = frequent_phrases(docs, params)
     total = counts.filter("size = 0").select("lang", F.col("n").alias("total"))
     known = counts.filter((F.col("size") >= 1) & (F.col("n") >= params.min_count)).select("lang", F.col("phrase").alias("known"), F.col("n").alias("f"))
     candidates = counts.filter((F.col("size") >= 2) & (F.col("n") >= params.min_count)).select("lang", "size", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
