@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions import geometry as g
 from scanloom.functions.linalg import with_solution
@@ -13,7 +16,7 @@ from scanloom.functions.voxel import KEYS, pack, voxel_key
 from scanloom.operators.cells import dist2, spread, with_cell
 from scanloom.operators.components import connected_components
 from scanloom.operators.ordered import row_number
-from scanloom.operators.voxels import MOMENTS, merge_aggs, with_plane
+from scanloom.operators.voxels import MOMENTS, merge_aggs, moment_aggs, with_plane
 from scanloom.params import PlaneParams
 from scanloom.session import cut
 
@@ -117,32 +120,59 @@ def plane_lsq(points: DataFrame, keys: Sequence[str], max_residual: float = 0.2)
     return checked.filter(F.col("worst") <= max_residual).drop("worst")
 
 
-def plane_ransac(
-    points: DataFrame, keys: Sequence[str], ident: str, block: Column, iterations: int = 1000,
-    distance: float = 0.1, seed: int = 1,
-) -> DataFrame:
-    """Points with flag ``inlier`` of the dominant plane of each group.
+_BLOCK = 4096  # points of a group whose votes are counted at once
 
-    Hypothesis h takes the three points at seeded positions of the group. Inliers are
-    counted by a join on the group with map-side combined counts.
-    """
-    ranked = row_number(points.select(*keys, ident, "x", "y", "z"), keys, [ident], block, "_i")
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _votes(x: pd.Series, y: pd.Series, z: pd.Series, planes: pd.Series, distance: pd.Series) -> pd.Series:
+    """Points of a block within the distance of each plane: one stacked product per block."""
+    out = []
+    for px, py, pz, flat, limit in zip(x, y, z, planes, distance, strict=True):
+        plane = np.asarray(flat, float).reshape(-1, 4)
+        gap = np.stack([np.asarray(c, float) for c in (px, py, pz)], axis=1) @ plane[:, :3].T + plane[:, 3]
+        out.append((np.abs(gap) < limit).sum(axis=0))
+    return pd.Series(out)
+
+
+def plane_hypotheses(ranked: DataFrame, keys: Sequence[str], iterations: int, seed: int) -> DataFrame:
+    """(keys, h, normal, d): planes through three points at seeded positions ``_i`` of the group."""
     size = ranked.groupBy(*keys).agg(F.max("_i").alias("_n"))
     picks = size.filter(F.col("_n") >= 3).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     picks = picks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)])))
     picks = picks.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), *keys, "h", "k"), F.col("_n")) + 1)
-    corner = picks.join(ranked.drop(ident), [*keys, "_i"]).groupBy(*keys, "h").agg(*[
+    corner = picks.join(ranked.select(*keys, "_i", "x", "y", "z"), [*keys, "_i"]).groupBy(*keys, "h").agg(*[
         F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in "xyz"
     ])
     p0, p1, p2 = [g.cols([f"{c}{k}" for c in "xyz"]) for k in range(3)]
     corner = corner.withColumns(dict(zip(NORMAL, g.cross(g.sub(p1, p0), g.sub(p2, p0)))))
     corner = corner.withColumn("_len", g.norm(g.cols(NORMAL))).filter(F.col("_len") > 1e-9)
     corner = corner.withColumns({n: F.col(n) / F.col("_len") for n in NORMAL})
-    planes = corner.withColumn("d", -g.dot(g.cols(NORMAL), p0)).select(*keys, "h", *NORMAL, "d")
-    hit = F.abs(g.dot(g.cols(NORMAL), g.cols("xyz")) + F.col("d")) < distance
-    votes = points.select(*keys, "x", "y", "z").join(planes, list(keys)).groupBy(*keys, "h").agg(F.count_if(hit).alias("votes"))
+    return corner.withColumn("d", -g.dot(g.cols(NORMAL), p0)).select(*keys, "h", *NORMAL, "d")
+
+
+def plane_ransac(
+    points: DataFrame, keys: Sequence[str], ident: str, block: Column, iterations: int = 1000,
+    distance: float = 0.1, seed: int = 1,
+) -> DataFrame:
+    """Points with flag ``inlier`` of the dominant plane of each group.
+
+    The hypotheses of a group are one array. Points go to them in blocks of ``_BLOCK``, whose votes are
+    summed by hypothesis: rows are blocks times hypotheses, not points times hypotheses. The plane
+    with most votes, of equal ones the first, is fitted again to its inliers, and the flag tells
+    who lies within the distance of that one.
+    """
+    ranked = cut(row_number(points.select(*keys, ident, "x", "y", "z"), keys, [ident], block, "_i"))
+    planes = cut(plane_hypotheses(ranked, keys, iterations, seed))
+    stacked = planes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", *NORMAL, "d"))).alias("_p"))
+    stacked = stacked.select(*keys, F.transform("_p", lambda p: p["h"]).alias("_h"), F.flatten(F.transform("_p", lambda p: F.array(*[p[c].cast("double") for c in (*NORMAL, "d")]))).alias("_p"))
+    lists = ranked.groupBy(*keys, F.floor((F.col("_i") - 1) / _BLOCK).alias("_b")).agg(*[F.collect_list(F.col(c).cast("double")).alias("_" + c) for c in "xyz"])
+    counted = lists.join(stacked, list(keys)).select(*keys, "_h", _votes("_x", "_y", "_z", "_p", F.lit(float(distance))).alias("_v"))
+    votes = counted.select(*keys, F.explode(F.arrays_zip("_h", "_v")).alias("r")).groupBy(*keys, F.col("r._h").alias("h")).agg(F.sum("r._v").alias("votes"))
     best = votes.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("v"), "h")).alias("b")).select(*keys, "b.h")
-    return points.join(planes.join(best, [*keys, "h"]), list(keys), "left").withColumn("inlier", F.coalesce(hit, F.lit(False))).drop(*NORMAL, "d", "h")
+    hit = F.abs(g.dot(g.cols(NORMAL), g.cols("xyz")) + F.col("d")) < distance
+    first = points.select(*keys, "x", "y", "z").join(planes.join(best, [*keys, "h"]), list(keys)).filter(hit)
+    fitted = with_plane(first.groupBy(*keys).agg(*moment_aggs())).select(*keys, *NORMAL, "d")
+    return points.join(fitted, list(keys), "left").withColumn("inlier", F.coalesce(hit, F.lit(False))).drop(*NORMAL, "d")
 
 
 def ground_plane(

@@ -135,7 +135,7 @@ def _(v):
 
 @query("ag_plane_ransac")
 def _(v):
-    return pl.plane_ransac(v.points, SCAN, "point_idx", point_block(), 100, 0.5).select(*P, "inlier")
+    return pl.plane_ransac(v.points, SCAN, "point_idx", point_block(), distance=0.5).select(*P, "inlier")
 
 
 @query("ag_ground_estimate")

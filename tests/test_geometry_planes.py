@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
 from scanloom.operators import loops, planes, posegraph, voxels
+from scanloom.operators.ordered import block_of, row_number
 from scanloom.params import LoopParams, PlaneParams, PoseGraphParams
 
 
@@ -131,3 +132,31 @@ def test_pose_refine_closes_a_loop(spark):
     )
     for row in out.collect():
         np.testing.assert_allclose([row.tx, row.ty, row.tz], poses[row.node][1], atol=1e-2)
+
+
+def test_ransac_equals_a_loop_over_the_hypotheses(spark, monkeypatch):
+    monkeypatch.setattr(planes, "_BLOCK", 64)
+    rng = np.random.default_rng(3)
+    rows = []
+    for scan in range(3):
+        flat = np.column_stack([rng.uniform(-5, 5, (300, 2)), rng.normal(0, 0.03, 300)])
+        noise = rng.uniform(-5, 5, (150, 3))
+        rows += [(scan, i, *map(float, p)) for i, p in enumerate(np.concatenate([flat, noise]) + [0, 0, scan])]
+    rows += [(7, 0, 0.0, 0.0, 0.0), (7, 1, 1.0, 0.0, 0.0)]  # too few points for a plane
+    df = spark.createDataFrame(rows, "scan_id int, point_idx int, x double, y double, z double").repartition(3)
+    block = block_of(F.col("point_idx"), 100)
+    got = {(r.scan_id, r.point_idx) for r in planes.plane_ransac(df, ["scan_id"], "point_idx", block, 1000, 0.1).collect() if r.inlier}
+    ranked = row_number(df, ["scan_id"], ["point_idx"], block, "_i")
+    tried = planes.plane_hypotheses(ranked, ["scan_id"], 1000, 1).toPandas().sort_values(["scan_id", "h"])
+    want = set()
+    for scan in range(3):
+        at = np.array([r[2:] for r in rows if r[0] == scan])
+        best, most = None, -1
+        for h in tried[tried.scan_id == scan].itertuples():
+            inside = np.abs(at @ [h.nx, h.ny, h.nz] + h.d) < 0.1
+            if inside.sum() > most:
+                best, most = inside, inside.sum()
+        centre = at[best].mean(axis=0)
+        normal = np.linalg.svd(at[best] - centre)[2][2]
+        want |= {(scan, int(i)) for i in np.flatnonzero(np.abs((at - centre) @ normal) < 0.1)}
+    assert got == want and len(want) > 850
