@@ -1,12 +1,15 @@
 """Spatial joins, clusters and components against brute force."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from scanloom.functions.voxel import pack, voxel_key
-from scanloom.operators import cells, clusters, components, keypoints
+from scanloom.operators import cells, clusters, components, keypoints, triangles
+from scanloom.params import TriangleParams
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +96,22 @@ def test_voxel_key_edges(spark):
     assert [r[0] for r in df.select(voxel_key(F.col("c"), 1.0)).collect()] == [-2, -1, 0, 1, 1]
     packed = [r[0] for r in spark.range(1).select(F.explode(F.array(*[pack([F.lit(a), F.lit(b), F.lit(0)]) for a, b in ((-1, 5), (0, -3), (0, 2))]))).collect()]
     assert packed == sorted(packed)
+
+
+
+def test_triangles_of_small_frames(spark):
+    """Frames with fewer key points than neighbours asked for, beside a full one."""
+    rng = np.random.default_rng(4)
+    rows = [(0, f, f * 100 + k, *map(float, rng.uniform(0, 9, 3)), 7, 3) for f, n in enumerate((1, 2, 3, 5, 9)) for k in range(n)]
+    df = spark.createDataFrame(rows, "session INT, keyframe INT, kp BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, bits BIGINT, summary INT")
+    p = TriangleParams(neighbours=8, min_side=1.0, max_side=30.0, resolution=2.0)
+    found = triangles.triangles(df, p, size=6.0).select("keyframe", "pa.kp", F.col("pb.kp").alias("b"), F.col("pc.kp").alias("c")).collect()
+    at = {r[2]: np.array(r[3:6]) for r in rows}
+    for f, n in enumerate((1, 2, 3, 5)):
+        got = {frozenset(r[1:]) for r in found if r.keyframe == f}
+        want = set()
+        for t in itertools.combinations([r[2] for r in rows if r[1] == f], 3):
+            s = sorted(np.linalg.norm(at[a] - at[b]) for a, b in itertools.combinations(t, 2))
+            if s[0] >= p.min_side and s[2] <= p.max_side and abs(s[2] - s[0] - s[1]) >= p.flat_margin:
+                want.add(frozenset(t))
+        assert got == want
