@@ -98,6 +98,12 @@ def test_voxel_key_edges(spark):
     assert packed == sorted(packed)
 
 
+def test_radius_pairs_of_repeated_ids(spark):
+    """Rows of one id are one point: no pair, also when they lie in different cells."""
+    df = spark.createDataFrame([(0, 1, 0.1, 0.0, 0.0), (0, 1, 0.9, 0.0, 0.0), (0, 1, 1.1, 0.0, 0.0), (0, 2, 1.2, 0.0, 0.0)], "s INT, id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    got = sorted((r.a_id, r.b_id, round(r.d2, 6)) for r in cells.radius_pairs(df, ["s"], "id", 1.0).collect())
+    assert got == [(1, 2, 0.01), (1, 2, 0.09)]
+
 
 def test_triangles_of_small_frames(spark):
     """Frames with fewer key points than neighbours asked for, beside a full one."""
