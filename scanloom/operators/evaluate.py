@@ -20,9 +20,18 @@ CLASS_MAP = {
 }
 
 
-def label_pred(labels: DataFrame, preds: DataFrame) -> DataFrame:
-    """Pair label and prediction of the same point; a point without prediction keeps NULL."""
-    return labels.join(preds, POINT, "left")
+def label_pred(labels: DataFrame, preds: DataFrame, keys: Sequence[str] = POINT) -> DataFrame:
+    """Pair label and prediction of the same point; a point without prediction keeps NULL.
+
+    ``keys`` must tell all points apart; :func:`numbered_copies` makes a key of ids that repeat.
+    """
+    return labels.join(preds, list(keys), "left")
+
+
+def numbered_copies(df: DataFrame, keys: Sequence[str] = POINT, name: str = "copy") -> DataFrame:
+    """Add ``name``, the number from 1 of a row among those with its id; equal rows are interchangeable."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
 
 
 def with_outcome(df: DataFrame) -> DataFrame:
