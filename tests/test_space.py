@@ -121,3 +121,10 @@ def test_triangles_of_small_frames(spark):
             if s[0] >= p.min_side and s[2] <= p.max_side and abs(s[2] - s[0] - s[1]) >= p.flat_margin:
                 want.add(frozenset(t))
         assert got == want
+
+
+def test_knn_in_coarse_cells(cloud):
+    """Cells of twice the side find the same neighbours."""
+    pdf, df = cloud
+    fine, coarse = [sorted(map(tuple, cells.knn(df.filter("id % 9 = 0"), df, ["s"], "id", "id", 4, 0.3, coarse=c).select("id", "rank", "near.id", "d2").collect())) for c in (False, True)]
+    assert fine == coarse
