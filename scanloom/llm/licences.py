@@ -8,10 +8,11 @@ window lies in one of them. Informative are all words of ``NOTICES`` but the fun
 words are common there. Features are the words and word pairs of the notices that hold an
 informative word. A multinomial logistic regression with an elastic-net penalty (Spark's own)
 gives each family sparse weights. It is trained on the notices, on shortened and thinned-out
-versions of them, and on a bounded sample of the corpus's lines with at most one pair of a notice
-as class ``unknown``. The probability of a licence from which a unit is believed to hold one is
-calibrated on other such lines. It is then compared with the templates: of the families of which it
-holds enough of a notice, the most probable one is confirmed; without any it is ``unknown``.
+versions of them, and as class ``unknown`` on half of all different lines of the corpus with at most
+one pair of a notice. Lines with the same features are one weighted row. The probability of a licence
+from which a unit is believed to hold one is calibrated on all such lines of the other half. It is
+then compared with the templates: of the families of which it holds enough of a notice, the most
+probable one is confirmed; without any it is ``unknown``.
 
 Scoring is joins and sums; the weights and templates (bounded by the notices) are broadcast.
 A notice is reported once: a paragraph only if none of its lines and no paragraph that overlaps it
@@ -115,7 +116,9 @@ UNKNOWN = "unknown"
 
 @dataclass(frozen=True)
 class LicenceParams:
-    sample_lines: int = 4000  # lines of the corpus that training and calibration see
+    line_weight: float = 0.05  # of a line of class unknown in training
+    most_weight: float = 100.0  # of all of them together; more lines weigh less each
+    rows_per_task: int = 50_000  # of the training rows
     window: int = 12  # lines of a paragraph at most
     false_alarms: float = 0.0005  # of other lines, at the calibrated probability
     plain_pairs: int = 1  # pairs of a notice that a line of class unknown may hold
@@ -178,20 +181,22 @@ def _informative(line: Column) -> Column:
 
 
 def units_of(docs: DataFrame, params: LicenceParams) -> DataFrame:
-    """(doc_id, text_hash, pos, wide, line): informative lines and the paragraphs that begin at them."""
+    """(row, doc_id, text_hash, pos, wide, line): informative lines and the paragraphs that begin at them, by row of ``docs``."""
 
     def windows(lines: Column) -> Column:
         return F.transform(lines, lambda line, i: F.struct(
             i.alias("pos"), line.alias("line"), F.when(i > 0, F.get(lines, i - 1)).alias("before"), F.concat_ws("\n", *[F.get(lines, i + k) for k in range(params.window)]).alias("body"),
         ))  # a slice would copy all lines for each line
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_bound(F.split("text", "\n"), windows)).alias("u"))
-    rows = rows.select("doc_id", "text_hash", "u.*").filter(_informative(F.col("line")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.select("row", "doc_id", "text_hash", F.explode(_bound(F.split("text", "\n"), windows)).alias("u"))
+    rows = rows.select("row", "doc_id", "text_hash", "u.*").filter(_informative(F.col("line")))
     rows = rows.withColumn("body", F.get(F.split("body", "\n[^A-Za-z0-9\n]*(?=\n)", 2), 0))
     begins = ~F.coalesce(_informative(F.col("before")), F.lit(False)) | (F.col("pos") % (params.window // 2) == 0)
     line = F.struct(F.lit(False).alias("wide"), "line")
     wide = F.when(begins & F.contains("body", F.lit("\n")), F.struct(F.lit(True).alias("wide"), F.col("body").alias("line")))
-    return rows.select("doc_id", "text_hash", "pos", F.explode(F.array(line, wide)).alias("u")).filter(F.col("u").isNotNull()).select("doc_id", "text_hash", "pos", "u.wide", "u.line")
+    rows = rows.select("row", "doc_id", "text_hash", "pos", F.explode(F.array(line, wide)).alias("u")).filter(F.col("u").isNotNull())
+    return rows.select("row", "doc_id", "text_hash", "pos", "u.wide", "u.line")
 
 
 @dataclass(frozen=True)
@@ -208,23 +213,59 @@ def _features(units: DataFrame, keys: list[str]) -> DataFrame:
     return units.select(*keys, F.explode(_ngrams(_tokens(F.col("line")))).alias("feature"))
 
 
-def _scored(features: DataFrame, weights: DataFrame, bias: tuple[float, ...], keys: list[str]) -> DataFrame:
-    """(keys, p): class probabilities of the lines with a feature of the model."""
-    sums = [F.sum(F.get("w", k)).alias(f"__s{k}") for k in range(len(bias))]
-    total = features.join(F.broadcast(weights), "feature").groupBy(*keys).agg(*sums)
-    logits = total.select(*keys, F.array(*[F.col(f"__s{k}") + float(b) for k, b in enumerate(bias)]).alias("z"))
-    powers = logits.select(*keys, F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
-    return powers.select(*keys, F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
+def _probabilities(sums: Column, bias: tuple[float, ...], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the class probabilities for the summed weights of a unit."""
+    powers = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+    shares = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    logits = F.zip_with(sums, F.array(*[F.lit(b) for b in bias]), lambda x, b: x + b)
+    return _bound(logits, lambda z: _bound(powers(z), lambda e: _bound(shares(e), use)))
+
+
+def _weight_sums(classes: int) -> Column:
+    return F.array(*[F.sum(F.get("w", k)) for k in range(classes)])
+
+
+def _nth_largest(values: DataFrame, n: int, bins: int = 1024) -> float:
+    """The ``n``-th largest value (from 0) of rows (value, count), by ever finer bins; 0.0 where there are fewer."""
+    low, high = 0.0, 1.0
+    while True:
+        place = F.least(F.floor((F.col("value") - low) / (high - low) * bins), F.lit(bins - 1))
+        found = values.filter(F.col("value").between(low, high)).groupBy(place.alias("bin")).agg(
+            F.sum("count").alias("total"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+        for row in sorted(found.collect(), key=lambda r: -r.bin):
+            if n < row.total:
+                break
+            n -= row.total
+        else:
+            return 0.0
+        if row.low == row.high:
+            return row.low
+        low, high = row.low, row.high
+
+
+def other_lines(docs: DataFrame, templates: DataFrame, params: LicenceParams) -> tuple[DataFrame, list[int]]:
+    """All different lines with at most ``plain_pairs`` pairs of a notice, in two halves by hash.
+
+    Returns (half, features, count), lines with the same features together and those without any left
+    out, and the number of all lines of each half. Only hashes and features of notices are shuffled.
+    """
+    half = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(2)).alias("half")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length(F.trim("line")) > 0)
+    lines = lines.select("line", F.xxhash64("line").alias("h"))
+    sizes = {r.half: r["count"] for r in lines.select("h").distinct().groupBy(half).count().collect()}
+    hits = _features(lines.filter(_informative(F.col("line"))), ["h"]).join(F.broadcast(templates.select("feature").distinct()), "feature")
+    sets = hits.groupBy("h").agg(F.sort_array(F.collect_set("feature")).alias("features"))
+    noted = F.size(F.filter("features", lambda f: F.contains(f, F.lit(" ")))) > params.plain_pairs
+    grouped = cut(sets.groupBy(half, noted.alias("noted"), F.when(~noted, F.col("features")).alias("features")).agg(F.count("*").alias("count")))
+    for r in grouped.filter("noted").collect():
+        sizes[r.half] -= r["count"]
+    return grouped.filter("NOT noted").select("half", "features", "count"), [sizes.get(k, 0) for k in range(2)]
 
 
 def learn(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceModel:
-    """Fit the classifier and calibrate it on a bounded sample of the corpus's lines."""
+    """Fit the classifier on half of the corpus's different lines and calibrate it on the other half."""
     spark = docs.sparkSession
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    full = lines.filter(F.length(F.trim("line")) > 0).select("line", F.xxhash64("line").alias("h"))
-    # only hashes are shuffled to find the different lines; the few chosen ones are then fetched
-    chosen = cut(full.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(params.sample_lines))
-    sample = cut(full.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("line").alias("line")).select("line", "h"))
     notices = _notices(spark)
     templates = cut(
         notices.withColumn("features", _ngrams(_tokens(F.col("line")))).select("template", "family", F.explode("features").alias("feature"))
@@ -235,16 +276,18 @@ def learn(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceMo
     known = [(classes.index(f), v, 1.0 / len(NOTICES[f])) for f, texts in NOTICES.items() for t in texts for v in _thinned(f, t)]
     other = [(0, t, 1.0) for t in OTHERS]
     sized = templates.join(F.broadcast(templates.groupBy("template").agg(F.count("*").alias("size"))), "template")
-    pairs = F.broadcast(templates.filter(F.contains("feature", F.lit(" "))).select("feature").distinct())
-    noted = _features(sample, ["h"]).join(pairs, "feature").groupBy("h").count().filter(F.col("count") > params.plain_pairs).select("h")
-    plain = cut(sample.join(noted, "h", "left_anti"))
-    half = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(2)) == 0
-    rows = spark.createDataFrame([*known, *other], "label int, line string, weight double").unionByName(
-        plain.filter(half).select(F.lit(0).alias("label"), "line", F.lit(0.05).alias("weight"))
-    )
+    plain, (n_fit, n_check) = other_lines(docs, templates, params)
+    fit, check = plain.filter("half = 0"), plain.filter("half = 1")
+    each = min(params.line_weight, params.most_weight / max(1, n_fit))
+    shown, total = fit.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    rows = spark.createDataFrame([*known, *other], "label int, line string, weight double").select("label", "weight", _ngrams(_tokens(F.col("line"))).alias("features"))
+    rows = rows.unionByName(fit.select(F.lit(0).alias("label"), (F.col("count") * each).alias("weight"), "features"))
+    if n_fit > total:
+        bare = spark.createDataFrame([(0, (n_fit - total) * each, [])], "label int, weight double, features array<string>")
+        rows = rows.unionByName(bare)
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="features", outputCol="x")
     vectors.setBinary(True)
-    train = vectors.transform(rows.select("label", "weight", _ngrams(_tokens(F.col("line"))).alias("features"))).select(F.col("label").cast("double"), "weight", "x").coalesce(1).cache()
+    train = vectors.transform(rows).select(F.col("label").cast("double"), "weight", "x").coalesce(1 + shown // params.rows_per_task).cache()
     fitted = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", standardization=False,
         regParam=params.regularisation, elasticNetParam=params.mixing, maxIter=params.iterations,
@@ -253,31 +296,45 @@ def learn(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceMo
     matrix, bias = fitted.coefficientMatrix.toArray(), tuple(float(b) for b in fitted.interceptVector.toArray())
     table = [(f, [float(v) for v in matrix[:, k]]) for k, f in enumerate(vocabulary) if matrix[:, k].any()]
     weights = cut(spark.createDataFrame(table, "feature string, w array<double>"))
-    other_half = _scored(_features(plain.filter(~half & _informative(F.col("line"))), ["h"]), weights, bias, ["h"])
-    n = plain.filter(~half).count()
-    tops = sorted((r.licence for r in other_half.select((1 - F.get("p", 0)).alias("licence")).collect()), reverse=True)
-    allowed = int(params.false_alarms * n)
-    threshold = max(params.least_probability, tops[allowed] if allowed < len(tops) else 0.0)
+    summed = (
+        check.select("features", "count", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature")
+        .groupBy("features", "count").agg(_weight_sums(len(bias)).alias("sums"))
+    )
+    tops = cut(summed.select(_probabilities(F.col("sums"), bias, lambda p: 1 - F.get(p, 0)).alias("value"), "count").groupBy("value").agg(F.sum("count").alias("count")))
+    threshold = max(params.least_probability, _nth_largest(tops, int(params.false_alarms * n_check)))
     return LicenceModel(weights, bias, classes, threshold, cut(sized))
 
 
 def judged(units: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams()) -> DataFrame:
     """doc_id, text_hash, pos, wide, family, probability, template, coverage of the units that hold a licence.
 
-    ``family`` is ``unknown`` where no notice is covered; ``probability`` is that of any licence.
+    ``family`` is ``unknown`` where no notice is covered; ``probability`` is that of any licence. The
+    features of a unit meet weights and templates in one broadcast join, and one row per unit is
+    shuffled: the sums of the weights and, in a byte each, the number of features of each template.
     """
     keys = ["doc_id", "text_hash", "pos", "wide"]
-    features = cut(_features(units, keys))
-    believed = _scored(features, model.weights, model.bias, keys).filter(1 - F.get("p", 0) > model.threshold)
-    covered = (
-        features.join(F.broadcast(model.templates), "feature").groupBy(*keys, "template", "family", "size").count()
-        .withColumn("coverage", F.col("count") / F.col("size")).filter(F.col("coverage") >= params.coverage)
+    rows = model.templates.collect()
+    notices = sorted({(r.template, r.family, r.size) for r in rows})
+    place = {template: divmod(k, 7) for k, (template, _, _) in enumerate(notices)}
+    words = -(-len(notices) // 7)
+    packed = {r.feature: [0] * words for r in rows}
+    for r in rows:
+        packed[r.feature][place[r.template][0]] += 1 << 8 * place[r.template][1]
+    weights = {r.feature: r.w for r in model.weights.collect()}
+    known = units.sparkSession.createDataFrame([(f, weights.get(f), held) for f, held in packed.items()], "feature string, w array<double>, held array<bigint>")
+    counts = [F.sum(F.get("held", k)) for k in range(words)]
+    summed = _features(units, ["row", *keys]).join(F.broadcast(known), "feature").groupBy("row", *keys).agg(
+        F.count("w").alias("weighted"), _weight_sums(len(model.bias)).alias("sums"), F.array(*counts).alias("held")
     )
-    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    joined = believed.alias("b").join(covered.alias("c"), same, "left")
-    place = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("c.family")).cast("int") - 1
-    best = F.max(F.when(F.col("c.family").isNotNull(), F.struct(F.get("b.p", place).alias("p"), "c.coverage", "c.family", "c.template")))
-    out = joined.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys]).agg(F.max(1 - F.get("b.p", 0)).alias("probability"), best.alias("best"))
+    scored = summed.filter("weighted > 0").select(*keys, "held", _probabilities(F.col("sums"), model.bias, lambda p: p).alias("p"))
+    believed = scored.filter(1 - F.get("p", 0) > model.threshold)
+    covers = []
+    for template, family, size in notices:
+        word, byte = place[template]
+        share = F.shiftrightunsigned(F.get("held", word), 8 * byte).bitwiseAND(255) / size
+        row = F.struct(F.get("p", model.classes.index(family)).alias("p"), share.alias("coverage"), F.lit(family).alias("family"), F.lit(template).alias("template"))
+        covers.append(F.when(share >= params.coverage, row))
+    out = believed.select(*keys, (1 - F.get("p", 0)).alias("probability"), F.array_max(F.array(*covers)).alias("best")).dropDuplicates(keys)
     return out.select(*keys, F.coalesce("best.family", F.lit(UNKNOWN)).alias("family"), "probability", "best.template", F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"))
 
 

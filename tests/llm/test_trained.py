@@ -337,6 +337,48 @@ def test_licence_scores_equal_a_plain_scorer(spark):
     assert len({f for f, _ in got.values()}) > 2
 
 
+def test_licences_are_calibrated_on_all_lines(spark):
+    rng = random.Random(7)
+    words = "general public license software work copyright terms version rights permission copy lorem ipsum dolor sit amet".split()
+    lines = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(2, 5))) + f" {k}" for k in range(9000)})
+    docs = spark.createDataFrame([(d, "\n".join(lines[d::300])) for d in range(300)], "doc_id long, text string")
+    params = licences.LicenceParams(false_alarms=0.02, least_probability=0.0)
+    model = licences.learn(docs, params)
+    weights = {r.feature: np.array(r.w) for r in model.weights.collect()}
+    notes = {r.feature for r in model.templates.collect() if " " in r.feature}
+    grams = lambda line: set(line.split()) | {f"{a} {b}" for a, b in zip(line.split(), line.split()[1:])}
+    half = spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "pmod(xxhash64(xxhash64(line), 3), 2) AS half").collect()
+    plain = [grams(r.line) for r in half if r.half == 1 and len(grams(r.line) & notes) <= 1]
+    tops = []
+    for g in plain:
+        if hit := sorted(g & weights.keys()):
+            z = np.array(model.bias) + sum(weights[f] for f in hit)
+            tops.append(1 - (np.exp(z - z.max()) / np.exp(z - z.max()).sum())[0])
+    assert len(plain) > 2500
+    assert abs(model.threshold - sorted(tops, reverse=True)[int(0.02 * len(plain))]) < 1e-9
+
+
+def test_repeated_rows_of_a_licence_are_judged_alone(spark):
+    text = "The work is public.\nLicensed under the GNU General Public License."
+    docs = spark.createDataFrame([(1, text)] + [(2, text)] * 40 + [(None, text)] * 300 + [(3, "prose of no licence")], "doc_id long, text string")
+    model = licences.learn(docs)
+    out = licences.find_licences(docs, model).collect()
+    units = licences.judged(licences.units_of(docs, licences.LicenceParams()), model).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "None"]
+    assert len({str(r.found) for r in out}) == 1 and max(r.probability for r in out) - min(r.probability for r in out) < 1e-9
+    assert all(r.coverage <= 1 for r in units)
+
+
+def test_nth_largest(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0.25, 1.0, 1 - 1e-15, rng.random(), rng.random() * 1e-12]) for _ in range(400)]
+    rows = spark.createDataFrame([(v, 3) for v in values], "value double, count long")
+    ranked = sorted(values, reverse=True)
+    for n in (0, 2, 3, 500, 1199):
+        assert licences._nth_largest(rows, n) == ranked[n // 3]
+    assert licences._nth_largest(rows, 1200) == 0.0
+
+
 def test_words_and_hashes():
     texts = tb.texts_of(pa.array(["a b", None, "", " x\ty ", "a b"]).slice(0, 5))
     words = tb.words_of(texts)
