@@ -176,25 +176,60 @@ def _notices(spark: SparkSession) -> DataFrame:
 INFORMATIVE = tuple(sorted({w for texts in NOTICES.values() for t in texts for w in _split(t)} - FUNCTION_WORDS - {str(n) for n in range(10)} - set("abcdefghijklmnopqrstuvwxyz")))
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words, common beginnings once."""
+    rests: dict[str, list[str]] = {}
+    for w in words:
+        rests.setdefault(w[:1], []).append(w[1:])
+    branches = [c + _any_of(tuple(r)) for c, r in sorted(rests.items()) if c]
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)})" + ("?" if "" in rests else "")
+
+
+def _notice_pairs() -> tuple[str, ...]:
+    """The pairs of neighbouring words of the notices that hold an informative word."""
+    words = [_split(t) for texts in NOTICES.values() for t in texts]
+    return tuple(sorted({f"{a} {b}" for w in words for a, b in zip(w, w[1:]) if {a, b} & set(INFORMATIVE)}))
+
+
+_GAP = "[^a-z0-9]++"
+_NOTED = f"(?<![a-z0-9]){_any_of(INFORMATIVE)}(?![a-z0-9])"
+# at the beginning of a word: a pair of the notices, else an informative word; pairs overlap
+_SHARED = f"(?<![a-z0-9])(?=((?:{_any_of(_notice_pairs()).replace(' ', _GAP)}|{_any_of(INFORMATIVE)})(?![a-z0-9])))"
+
+
 def _informative(line: Column) -> Column:
-    return F.arrays_overlap(_tokens(line), F.array(*[F.lit(w) for w in INFORMATIVE]))
+    return F.lower(line).rlike(_NOTED)
+
+
+def _noted_ngrams(line: Column) -> Column:
+    """Of :func:`_ngrams`, all that notices hold and that have an informative word; the first words of the pairs too."""
+    found = F.regexp_extract_all(F.lower(line), F.lit(_SHARED), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(found, lambda x: _bound(F.regexp_replace(x, _GAP, " "), lambda n: F.array(n, F.substring_index(n, " ", 1))))))
 
 
 def units_of(docs: DataFrame, params: LicenceParams) -> DataFrame:
     """(row, doc_id, text_hash, pos, wide, line): informative lines and the paragraphs that begin at them, by row of ``docs``."""
 
     def windows(lines: Column) -> Column:
-        return F.transform(lines, lambda line, i: F.struct(
-            i.alias("pos"), line.alias("line"), F.when(i > 0, F.get(lines, i - 1)).alias("before"), F.concat_ws("\n", *[F.get(lines, i + k) for k in range(params.window)]).alias("body"),
-        ))  # a slice would copy all lines for each line
+        def noted(seen: Column) -> Column:
+            def unit(i: Column) -> Column:
+                begins = ~F.coalesce(F.get(seen, i - 1), F.lit(False)) | (i % (params.window // 2) == 0)
+                body = F.concat_ws("\n", *[F.get(lines, i + k) for k in range(params.window)])
+                return F.struct(i.alias("pos"), F.get(lines, i).alias("line"), F.when(begins, body).alias("body"))
+
+            places = F.sequence(F.lit(0), F.size(lines) - 1)
+            return F.transform(F.filter(places, lambda i: F.get(seen, i)), unit)
+
+        return _bound(F.transform(lines, _informative), noted)  # a slice would copy all lines for each line
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    rows = rows.select("row", "doc_id", "text_hash", F.explode(_bound(F.split("text", "\n"), windows)).alias("u"))
-    rows = rows.select("row", "doc_id", "text_hash", "u.*").filter(_informative(F.col("line")))
+    rows = rows.select("row", "doc_id", "text_hash", F.explode_outer(_bound(F.split("text", "\n"), windows)).alias("u"))
+    rows = rows.filter(F.col("u").isNotNull()).select("row", "doc_id", "text_hash", "u.*")
     rows = rows.withColumn("body", F.get(F.split("body", "\n[^A-Za-z0-9\n]*(?=\n)", 2), 0))
-    begins = ~F.coalesce(_informative(F.col("before")), F.lit(False)) | (F.col("pos") % (params.window // 2) == 0)
     line = F.struct(F.lit(False).alias("wide"), "line")
-    wide = F.when(begins & F.contains("body", F.lit("\n")), F.struct(F.lit(True).alias("wide"), F.col("body").alias("line")))
+    wide = F.when(F.contains("body", F.lit("\n")), F.struct(F.lit(True).alias("wide"), F.col("body").alias("line")))
     rows = rows.select("row", "doc_id", "text_hash", "pos", F.explode(F.array(line, wide)).alias("u")).filter(F.col("u").isNotNull())
     return rows.select("row", "doc_id", "text_hash", "pos", "u.wide", "u.line")
 
@@ -209,8 +244,9 @@ class LicenceModel:
 
 
 def _features(units: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature): the n-grams of the units."""
-    return units.select(*keys, F.explode(_ngrams(_tokens(F.col("line")))).alias("feature"))
+    """(keys, feature): the n-grams of the units that notices may share."""
+    # explode would compute the n-grams once more to leave out empty lists
+    return units.select(*keys, F.explode_outer(_noted_ngrams(F.col("line"))).alias("feature")).filter(F.col("feature").isNotNull())
 
 
 def _probabilities(sums: Column, bias: tuple[float, ...], use: Callable[[Column], Column]) -> Column:
