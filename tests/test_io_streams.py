@@ -94,3 +94,22 @@ def test_line_features_flat_wall_is_planar(spark):
     out = scanlines.line_features(spark.createDataFrame(pdf), LineFeatureParams()).toPandas()
     inner = out[(out["point_idx"] > 5) & (out["point_idx"] < 150)]
     assert inner["code"].isin([scanlines.CODES["flat_end"], scanlines.CODES["flat"]]).mean() > 0.9
+
+
+def test_sync_meets_rows_near_in_time_only(spark):
+    spans = [(1, 0, 60), (2, 59.5, 120), (3, 60, 60), (4, 10, 400), (5, 400, 10), (6, -30, 0), (7, None, 5)]
+    times = [-31, -30, -29.5, 0, 0.5, 59.5, 60, 60.5, 120, 180, 399, 400, 401, None]
+    scans = spark.createDataFrame([(k % 2, k, *(None if x is None else float(x) for x in (a, b))) for k, a, b in spans], "session int, seq int, a double, b double")
+    scans = scans.selectExpr("session", "seq", "timestamp_micros(cast(a * 1000000 as bigint)) start_ts", "timestamp_micros(cast(b * 1000000 as bigint)) end_ts")
+    imu = spark.createDataFrame([(s, k, None if t is None else float(t)) for s in range(2) for k, t in enumerate(times)], "session int, sample int, t double")
+    imu = imu.selectExpr("session", "sample", "timestamp_micros(cast(t * 1000000 as bigint)) imu_ts")
+    out = sensor.sync(scans, imu, "session")
+    assert out.columns == ["session", "seq", "start_ts", "end_ts", "sample", "imu_ts"]
+    want = sorted((k, i) for k, a, b in spans for i, t in enumerate(times) if None not in (a, t) and a < t <= b)
+    assert sorted((r.seq, r.sample) for r in out.collect()) == want
+
+    # 60,000 rows a side in one session, a second apart: all pairs would be 3.6 billion
+    many = spark.range(60_000).selectExpr("0 session", "id", "timestamp_seconds(id) ts")
+    joined = sensor.sync(many.selectExpr("session", "id seq", "ts - interval 2 seconds start_ts", "ts end_ts"), many.selectExpr("session", "id sample", "ts imu_ts"), "session")
+    assert joined.count() == 2 * 60_000 - 1
+    assert "_bucket" in joined._jdf.queryExecution().optimizedPlan().toString()
