@@ -31,3 +31,27 @@ def stages(spark, name):
 @pytest.mark.parametrize("name, limit", [("gr_plane_adjust", 220), ("ag_point_icp", 220), ("gr_dbscan", 600)])
 def test_bytes_per_point(spark, name, limit):
     assert sum(s[0] for s in stages(spark, name)) < limit * POINTS
+
+
+def test_cubes_of_few_sensors_take_many_tasks(spark):
+    assert max(s[1] for s in stages(spark, "flt_fov_boxes")) >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_are_walked_together(spark):
+    import numpy as np
+
+    from scanloom.operators import scanlines
+    from scanloom.plans.catalog_windows import LINE_P
+    from scanloom.plans.views import Views
+
+    plan = scanlines.flat_stretches(Views(spark, FOLDER).points, LINE_P)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 60, 80)
+    xyz = np.cumsum(rng.normal(1, 2, (sizes.sum(), 3)), axis=0) % 60
+    rows, lines = scanlines._walk(xyz, sizes, LINE_P)
+    ends = np.cumsum(sizes)
+    for k, (a, b) in enumerate(zip(ends - sizes, ends)):
+        one = scanlines._walk(xyz[a:b], sizes[k : k + 1], LINE_P)[0]
+        np.testing.assert_array_equal(rows[lines == k], one)
+    assert len(rows) > 50
