@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.functions import geometry as g
 from scanloom.params import LineFeatureParams
@@ -29,70 +30,102 @@ LINE = ["session", "scan_id", "line"]
 CODES = {"plain": 0, "flat_end": 1, "flat": 2, "jump": 3, "edge": 4, "wire": 5}
 
 
-def _reach(xyz: np.ndarray, rng: np.ndarray, p: LineFeatureParams) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of a line: where its stretch ends, and whether a blind point ended it."""
-    n, size = len(xyz), p.group_size
-    starts = np.arange(max(n - size, 0))
-    blind = np.append(np.flatnonzero(rng < p.blind), n)
-    hidden = blind[np.searchsorted(blind, starts)]
+def _ragged(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of runs that begin at ``first``, one after the other, and the run each belongs to."""
+    run = np.repeat(np.arange(len(first)), sizes)
+    return first[run] + np.arange(len(run)) - (np.cumsum(sizes) - sizes)[run], run
+
+
+def _reach(xyz: np.ndarray, rng: np.ndarray, starts: np.ndarray, stop: np.ndarray, p: LineFeatureParams) -> tuple[np.ndarray, np.ndarray]:
+    """For every start: where its stretch ends, and whether a blind point ended it. ``stop`` is the end of its line."""
+    blind = np.append(np.flatnonzero(rng < p.blind), len(xyz))
+    hidden = np.minimum(blind[np.searchsorted(blind, starts)], stop)
     limit = (p.dis_a * rng[starts] + p.dis_b) ** 2
-    end = starts + size
-    open_ = np.flatnonzero((hidden >= end) & (end < n))
+    end = starts + p.group_size
+    open_ = np.flatnonzero((hidden >= end) & (end < stop))
     while len(open_):
-        far = ((xyz[end[open_]] - xyz[open_]) ** 2).sum(axis=1) >= limit[open_]
+        far = ((xyz[end[open_]] - xyz[starts[open_]]) ** 2).sum(axis=1) >= limit[open_]
         open_ = open_[~far & (end[open_] < hidden[open_])]
         end[open_] += 1
-        open_ = open_[end[open_] < n]
-    cut = hidden <= np.minimum(end, n - 1)
+        open_ = open_[end[open_] < stop[open_]]
+    cut = hidden <= np.minimum(end, stop - 1)
     return np.where(cut, hidden, end), cut
 
 
-def _flat(xyz: np.ndarray, step: np.ndarray, a: int, b: int, p: LineFeatureParams) -> np.ndarray | None:
-    """Direction of the stretch a..b if its points keep to the chord at even distances."""
-    chord = xyz[min(b, len(xyz) - 1)] - xyz[a]
-    off = np.cross(xyz[a + 1 : min(b, len(xyz))] - xyz[a], chord)
-    width = (off**2).sum(axis=1).max(initial=0.0)
-    length2 = float(chord @ chord)
-    if width > 0 and length2**2 < p.line_ratio * width:
-        return None
-    spacing = np.sort(step[a:b])
-    second, middle, widest = spacing[1], spacing[len(spacing) - 1 - len(spacing) // 2], spacing[-1]
-    if second < p.tiny_step:
-        return None
-    even = widest < p.max_mid * middle and middle < p.mid_min * second if p.mid_ratio_rule else widest < p.max_min * second
-    return (chord / np.sqrt(length2) if length2 > 0 else chord) if even else None
+def _flat(xyz: np.ndarray, step: np.ndarray, a: np.ndarray, b: np.ndarray, stop: np.ndarray, p: LineFeatureParams) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches a..b keep to the chord at even distances, and their directions."""
+    chord = xyz[np.minimum(b, stop - 1)] - xyz[a]
+    upto = np.minimum(b, stop)
+    at, run = _ragged(a + 1, upto - a - 1)
+    width = np.zeros(len(a))
+    np.maximum.at(width, run, (np.cross(xyz[at] - xyz[a[run]], chord[run]) ** 2).sum(axis=1))
+    length2 = (chord * chord).sum(axis=1)
+    bent = (width > 0) & (length2**2 < p.line_ratio * width)
+    at, run = _ragged(a, upto - a)
+    spacing = step[at][np.lexsort((step[at], run))]
+    n = upto - a
+    first = np.cumsum(n) - n
+    second, middle, widest = spacing[first + 1], spacing[first + n - 1 - n // 2], spacing[first + n - 1]
+    even = (widest < p.max_mid * middle) & (middle < p.mid_min * second) if p.mid_ratio_rule else widest < p.max_min * second
+    unit = chord / np.where(length2 > 0, np.sqrt(length2), 1.0)[:, None]
+    return ~bent & (second >= p.tiny_step) & even, unit
+
+
+def _walk(xyz: np.ndarray, sizes: np.ndarray, p: LineFeatureParams) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (first, last, follows, direction) of the flat stretches of many lines, and their line.
+
+    All lines take their first step at once, then all their second, so the number of steps is that
+    of the longest line.
+    """
+    begin = np.cumsum(sizes) - sizes
+    rng = np.hypot(xyz[:, 0], xyz[:, 1])
+    step = np.append(((xyz[1:] - xyz[:-1]) ** 2).sum(axis=1), 0.0)
+    step[(begin + sizes - 1)[sizes > 0]] = 0.0
+    line = np.flatnonzero((sizes > p.min_points) & (sizes > p.group_size))
+    starts, run = _ragged(begin[line], sizes[line] - p.group_size)
+    end, cut = np.zeros(len(xyz), np.int64), np.zeros(len(xyz), bool)
+    end[starts], cut[starts] = _reach(xyz, rng, starts, (begin + sizes)[line[run]], p)
+    at, before = begin[line], np.full(len(line), -1)
+    rows, lines = [np.empty((0, 6))], [np.empty(0, np.int64)]
+    while len(line):
+        stop, fin = (begin + sizes)[line], end[at]
+        flat, unit = np.zeros(len(line), bool), np.zeros((len(line), 3))
+        seen = np.flatnonzero(~cut[at])
+        flat[seen], unit[seen] = _flat(xyz, step, at[seen], fin[seen], stop[seen], p)
+        low = begin[line]
+        rows.append(np.column_stack([at - low, np.minimum(fin, stop - 1) - low, before == at, unit])[flat])
+        lines.append(line[flat])
+        # a blind start is stepped over, any other stretch that is not flat with its end
+        before = np.where(flat, fin, before)
+        at = np.where(flat, fin, np.maximum(fin, at) + 1)
+        go = at < stop - p.group_size
+        line, at, before = line[go], at[go], before[go]
+    return np.concatenate(rows), np.concatenate(lines)
 
 
 def flat_stretches(points: DataFrame, p: LineFeatureParams = LineFeatureParams()) -> DataFrame:
     """(line, first, last, follows, dx, dy, dz): flat stretches by position in the line.
 
-    ``follows`` marks a stretch that begins where a flat one ended.
+    ``follows`` marks a stretch that begins where a flat one ended. A line is one row of arrays, and
+    the lines of a batch are walked together.
     """
-    schema = "session INT, scan_id INT, line INT, first BIGINT, last BIGINT, follows BOOLEAN, dx DOUBLE, dy DOUBLE, dz DOUBLE"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_idx", kind="stable")
-        xyz = pdf[["x", "y", "z"]].to_numpy(dtype=float)
-        rng = np.hypot(xyz[:, 0], xyz[:, 1])
-        rows = []
-        if len(xyz) > p.min_points:
-            end, cut = _reach(xyz, rng, p)
-            step = np.append(((xyz[1:] - xyz[:-1]) ** 2).sum(axis=1), 0.0)
-            at, before = 0, -1
-            while at < len(end):
-                direction = None if cut[at] else _flat(xyz, step, at, int(end[at]), p)
-                if direction is not None:
-                    rows.append((at, min(int(end[at]), len(xyz) - 1), before == at, *direction))
-                    at = before = int(end[at])
-                else:
-                    # a blind start is stepped over, any other stretch with its end
-                    at = max(int(end[at]), at) + 1
-        out = pd.DataFrame(rows, columns=["first", "last", "follows", "dx", "dy", "dz"])
-        for k in LINE[::-1]:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return points.select(*LINE, "point_idx", "x", "y", "z").groupBy(*LINE).applyInPandas(run, schema)
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def walk(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        sizes = np.array([len(v) for v in x], np.int64)
+        xyz = np.stack([np.concatenate([np.asarray(v, float) for v in c]) for c in (x, y, z)], axis=1)
+        rows, lines = _walk(xyz, sizes, p)
+        order = np.argsort(lines, kind="stable")
+        bounds = np.searchsorted(lines[order], np.arange(len(sizes) + 1))
+        rows = rows[order]
+        return pd.Series([list(rows[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], index=x.index)
+
+    lines = points.groupBy(*LINE).agg(F.sort_array(F.collect_list(F.struct("point_idx", *[F.col(c).cast("double").alias(c) for c in "xyz"]))).alias("_p"))
+    found = lines.select(*LINE, F.explode(walk("_p.x", "_p.y", "_p.z")).alias("_s"))
+    cell = lambda i: F.col("_s")[i]
+    return found.select(
+        *LINE, cell(0).cast("bigint").alias("first"), cell(1).cast("bigint").alias("last"), (cell(2) > 0).alias("follows"),
+        *[cell(3 + i).alias("d" + c) for i, c in enumerate("xyz")],
+    )
 
 
 def _stretch_codes(stretches: DataFrame, p: LineFeatureParams) -> DataFrame:
