@@ -55,3 +55,8 @@ def test_lines_are_walked_together(spark):
         one = scanlines._walk(xyz[a:b], sizes[k : k + 1], LINE_P)[0]
         np.testing.assert_array_equal(rows[lines == k], one)
     assert len(rows) > 50
+
+
+@pytest.mark.parametrize("name", ["src_stream_scans", "src_pose_per_file", "src_scans"])
+def test_files_are_written_by_many_tasks(spark, name):
+    assert max(s[1] for s in stages(spark, name)) >= 2 * spark.sparkContext.defaultParallelism
