@@ -63,7 +63,7 @@ def _(v):
 def _(v):
     path = scratch(v, "single")
     one = lines_of(v, [*poses.MATRIX]).withColumn("value", F.concat("value", F.lit(" 0 0 0 1")))
-    one.select("session", "scan_id", "value").write.partitionBy("session", "scan_id").text(path)
+    sinks.write_pose_files(one, path)
     return poses.read_pose_per_file(v.spark, path).select("session", "scan_id", *snapped(MATRIX, 5))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
 from scanloom.schemas import LOOP_TRUTH
+from scanloom.session import cut
 
 MATRIX = [f"{c}" for i, t in enumerate(g.TRANS) for c in (*g.ROT[3 * i : 3 * i + 3], t)]
 
@@ -70,7 +71,7 @@ def read_pose_per_file(spark: SparkSession, path: str, extrinsic: Sequence[float
     """
     df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("v"))
     session = F.coalesce(F.nullif(F.regexp_extract("path", r"/session=(\d+)/", 1), F.lit("")).cast("int"), F.lit(0))
-    df = df.select(session.alias("session"), number_in(F.col("path"), "scan_id").alias("scan_id"), *_cols(MATRIX))
+    df = cut(df.select(session.alias("session"), number_in(F.col("path"), "scan_id").alias("scan_id"), *_cols(MATRIX)))  # each file is opened once
     first = df.groupBy("session").agg(F.min_by(F.struct(*MATRIX), "scan_id").alias("f"))
     df = df.join(first, "session")
     r, t = g.between(g.cols(g.ROT, "f."), g.cols(g.TRANS, "f."), g.cols(g.ROT), g.cols(g.TRANS))
