@@ -160,3 +160,23 @@ def test_ransac_equals_a_loop_over_the_hypotheses(spark, monkeypatch):
         normal = np.linalg.svd(at[best] - centre)[2][2]
         want |= {(scan, int(i)) for i in np.flatnonzero(np.abs((at - centre) @ normal) < 0.1)}
     assert got == want and len(want) > 850
+
+
+def test_ransac_stores_no_more_rows_than_points(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(scan, i, *map(float, p)) for scan in range(4) for i, p in enumerate(rng.uniform(-5, 5, (90, 3)))]
+    df = spark.createDataFrame(rows, "scan_id int, point_idx int, x double, y double, z double")
+    stored, cut = [], planes.cut
+
+    def counted(frame):
+        stored.append((out := cut(frame)).count())
+        return out
+
+    monkeypatch.setattr(planes, "cut", counted)
+    flags = []
+    for size in (4096, 32):  # a group as one block and as several
+        monkeypatch.setattr(planes, "_BLOCK", size)
+        out = planes.plane_ransac(df, ["scan_id"], "point_idx", block_of(F.col("point_idx"), 50), 200, 0.3)
+        flags.append(sorted(map(tuple, out.select("scan_id", "point_idx", "inlier").collect())))
+    assert flags[0] == flags[1] and sum(f[2] for f in flags[0]) > 20
+    assert max(stored) <= len(rows)  # planes as rows would be 200 a scan
