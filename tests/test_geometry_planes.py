@@ -180,3 +180,49 @@ def test_ransac_stores_no_more_rows_than_points(spark, monkeypatch):
         flags.append(sorted(map(tuple, out.select("scan_id", "point_idx", "inlier").collect())))
     assert flags[0] == flags[1] and sum(f[2] for f in flags[0]) > 20
     assert max(stored) <= len(rows)  # planes as rows would be 200 a scan
+
+
+def test_ground_plane_equals_a_loop_and_stores_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    scans = {}
+    for scan in range(3):
+        flat = np.column_stack([rng.uniform(-5, 5, (330, 2)), 10 + rng.normal(0, 0.02, 330)])
+        scans[scan] = np.concatenate([flat, rng.uniform(0, 5, (60, 3)) + [0, 0, 12]])
+    scans[3] = rng.uniform(-9, 9, (40, 3))  # no ground
+    df = spark.createDataFrame([(s, i, *map(float, p)) for s, at in scans.items() for i, p in enumerate(at)], "scan_id int, point_idx int, x double, y double, z double")
+
+    def fitted(at):
+        a = np.linalg.solve(at.T @ at, -at.sum(axis=0))
+        size = np.linalg.norm(a)
+        off = np.abs(at @ a + 1)
+        level = max(0.01, (off / size).mean()) < 0.1 and np.linalg.norm(np.cross(a / size, [0, 0, 1])) < np.sin(30 / 57.3)
+        return a if off.max() <= 0.2 and level else None
+
+    def near(at, a):
+        return np.abs(at @ a + 1) / np.linalg.norm(a) < 0.1
+
+    want = {}
+    for scan, at in scans.items():
+        width = max(4, len(at) // 100)
+        tried = [a for k in range(len(at) // width) if (a := fitted(at[k * width:(k + 1) * width])) is not None]
+        hits = [int(near(at, a).sum()) for a in tried]
+        if hits:
+            best = next((i for i, n in enumerate(hits) if n > 0.6 * len(at)), int(np.argmax(hits)))
+            if hits[best] > 0.2 * len(at):
+                refit = fitted(at[near(at, tried[best])])
+                want[scan] = tried[best] if refit is None else refit
+    stored, cut = [], planes.cut
+
+    def counted(frame):
+        stored.append((out := cut(frame)).count())
+        return out
+
+    monkeypatch.setattr(planes, "cut", counted)
+    for size in (4096, 64):  # a group as one block and as several
+        monkeypatch.setattr(planes, "_BLOCK", size)
+        stored.clear()
+        got = {r.scan_id: (r.a0, r.a1, r.a2) for r in planes.ground_plane(df, ["scan_id"], "point_idx", block_of(F.col("point_idx"), 50)).collect()}
+        assert set(got) == set(want) and len(want) >= 3
+        for scan, a in want.items():
+            np.testing.assert_allclose(got[scan], a, rtol=1e-6, atol=1e-9)
+        assert stored[0] == sum(-(-len(at) // size) for at in scans.values())  # blocks, not points times planes
