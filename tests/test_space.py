@@ -128,3 +128,26 @@ def test_knn_in_coarse_cells(cloud):
     pdf, df = cloud
     fine, coarse = [sorted(map(tuple, cells.knn(df.filter("id % 9 = 0"), df, ["s"], "id", "id", 4, 0.3, coarse=c).select("id", "rank", "near.id", "d2").collect())) for c in (False, True)]
     assert fine == coarse
+
+
+def test_knn_of_copies_and_crowded_cells(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    at = np.concatenate([np.repeat(rng.uniform(-1, 1, (20, 3)), 30, axis=0), rng.uniform(-1, 1, (500, 3))])
+    rows = [(0, i, *map(float, p)) for i, p in enumerate(at)]
+    df = spark.createDataFrame(rows, "s int, id int, x double, y double, z double")
+    stored, cut = [], cells.cut
+
+    def counted(frame):
+        stored.append((out := cut(frame)).count())
+        return out
+
+    monkeypatch.setattr(cells, "cut", counted)
+    got = {(r.id, r["rank"]): r.near.id for r in cells.knn(df.filter("id % 11 = 0"), df, ["s"], "id", "id", 3, 4.0).collect()}
+    for i in range(0, len(at), 11):
+        d2 = ((at[i, 0] - at[:, 0]) ** 2 + (at[i, 1] - at[:, 1]) ** 2 + (at[i, 2] - at[:, 2]) ** 2)
+        assert [got[i, k] for k in range(3)] == list(np.lexsort((np.arange(len(at)), d2))[:3])
+    assert len(got) == 3 * 100
+    assert 20 * 3 + 500 in stored  # of the copies at one place, three are kept
+    refs = df.select("s", *[F.col(a).alias("r_" + a) for a in "xyz"])
+    crowds = cells._crowds(refs, ["s"], 1.0, "xyz", 4)
+    assert crowds[0] > crowds[1] > crowds[2] > crowds[3] and crowds[3] < 100
