@@ -73,6 +73,31 @@ def test_assignment_is_optimal_and_tracks_follow():
     assert len(tracker.tracks) == 1
 
 
+def test_assignment_by_parts_is_optimal():
+    rng = np.random.default_rng(2)
+    for n in range(200):
+        gain = np.where(rng.random((n % 9 + 1, n % 7 + 1)) < 0.3, rng.random((n % 9 + 1, n % 7 + 1)), 0.0)
+        whole, parts = tracks.assign(gain), tracks.matched(gain)
+        total = lambda m: sum(np.floor(gain[i, j] * 10000) for i, j in enumerate(m) if j >= 0)  # noqa: B023, E731
+        assert total(whole) == total(parts) and len(set(parts[parts >= 0])) == (parts >= 0).sum() and all(gain[i, j] > 0 for i, j in enumerate(parts) if j >= 0)
+    assert tracks.matched(np.array([[6e-5, 0.0], [np.nan, 0.2]])).tolist() == [-1, 1]
+
+
+def test_tracker_assigns_overlapping_boxes_only(monkeypatch):
+    """90 boxes a frame, two of which compete: the assignment grows with the cube of the boxes it is given."""
+    shapes = []
+    plain = tracks.assign
+    monkeypatch.setattr(tracks, "assign", lambda gain: shapes.append(gain.shape) or plain(gain))
+    tracker = tracks.Tracker(TrackParams())
+    place = np.stack([np.arange(90) * 5.0, np.zeros(90), np.zeros(90)], axis=1)
+    place[89] = place[88] + 0.5
+    columns = [f"{m}_{a}" for m in ("min", "max") for a in "xyz"]
+    frame = pd.DataFrame(np.concatenate([place, place + 2.0], axis=1), columns=columns)
+    rows = [tracker.step(0.02 * k, frame) for k in range(6)]
+    assert [r[1] for r in rows[-1]] == list(range(1, 91)) and {r[2] for r in rows[-1]} == {"MATCHED_MORE"}
+    assert shapes == [(2, 2)] * 5
+
+
 def test_gap_fill(spark):
     df = spark.createDataFrame([(0, 0), (0, 10), (0, 50)], "s INT, t BIGINT")
     got = sorted((r.t, r.zero) for r in sensor.gap_fill(df, ["s"], "t", 10, 15, 1000).collect())
