@@ -60,3 +60,26 @@ def test_key_frames_drop_the_rest(spark):
     df = spark.createDataFrame([(0, i) for i in range(7)] + [(1, i) for i in range(1, 5)], "session INT, scan_id INT")
     got = {(r.session, r.scan_id): (r.keyframe, r.anchor_scan) for r in windows.key_frames(df, 3).collect()}
     assert got == {(0, 0): (0, 0), (0, 1): (0, 0), (0, 2): (0, 0), (0, 3): (1, 3), (0, 4): (1, 3), (0, 5): (1, 3), (1, 1): (2, 1), (1, 2): (2, 1), (1, 3): (2, 1)}
+
+
+def test_local_map_settles_in_few_rounds(spark, monkeypatch):
+    """Forty blocks of a drive out and back: a round for each block was one job after the other on the driver."""
+    n = 400
+    x = np.concatenate([np.arange(n // 2), np.arange(n // 2)[::-1]]) * 0.7
+    pdf = pd.DataFrame({"session": 1, "seq": range(n), "tx": x, "ty": -x / 3, "tz": 0.0})
+    monkeypatch.setattr(windows, "block_of", lambda c: F.floor(c / 10).cast("bigint"))
+    seen = []
+    plain = ordered.rounds
+    monkeypatch.setattr(ordered, "rounds", lambda *a: (seen.append(i) or i for i in plain(*a)))
+    got = windows.local_map(spark.createDataFrame(pdf), "seq", 60.0, 15.0, 1.2).toPandas().sort_values("seq")["moved"].tolist()
+    low, want = None, []
+    for p in pdf[["tx", "ty", "tz"]].to_numpy():
+        if low is None:
+            low, down, up = p - 30.0, np.zeros(3, bool), np.zeros(3, bool)
+        else:
+            down, up = np.abs(p - low) <= 18.0, np.abs(p - low - 60.0) <= 18.0
+            up &= ~down
+            low = low + np.where(up, 10.8, 0.0) - np.where(down, 10.8, 0.0)
+        want.append(sum((1 << (2 * k)) * int(down[k]) + (2 << (2 * k)) * int(up[k]) for k in range(3)))
+    assert got == want and sum(m > 0 for m in want) > 20
+    assert len(seen) <= 3
